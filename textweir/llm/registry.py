@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import quality_rules, url_filter
 
-QUERIES = {"op9_url_filter": url_filter.op9_url_filter}
+QUERIES = {
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
+}
 SQL = {"op9_url_filter": url_filter.SQL}
