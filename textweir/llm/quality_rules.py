@@ -125,8 +125,8 @@ def _prune(rule: Rule, x: np.ndarray, bad: np.ndarray, held: np.ndarray) -> Rule
 def learn_rules(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.99, min_covered: int = 5, most_rules: int = 32) -> list[Rule]:
     """Sequential covering: grow a rule for bad rows on two thirds, prune it on the rest, take it, drop what it covers.
 
-    Learning ends at the first rule that covers fewer than min_covered bad rows or whose precision over all rows
-    left is under min_precision. Without both good and bad rows there are no rules. Rows with a statistic that
+    A rule counts if it covers min_covered bad rows and its precision over all rows left is min_precision; else it
+    is grown once more, on all of them, and if that doesn't help, learning ends. Without both good and bad rows there are no rules. Rows with a statistic that
     isn't a number are left out. The same rows in the same order give the same rules.
     """
     good_rows = np.isfinite(x).all(axis=1)
@@ -134,13 +134,13 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, min_precision: float = 0.99, min
     rules: list[Rule] = []
     held = np.arange(len(x)) % 3 == 2
     while bad.any() and (~bad).any() and len(rules) < most_rules:
-        rule = _grow(x[~held], bad[~held]) if bad[~held].any() else ()
-        rule = _prune(rule, x, bad, held) if rule else ()
-        if not rule:
-            break
-        on = _covered(rule, x)
-        p = int((on & bad).sum())
-        if p < min_covered or p < min_precision * on.sum():
+        for own in (~held, np.ones(len(x), bool)):
+            rule = _prune(_grow(x[own], bad[own]), x, bad, held)
+            on = _covered(rule, x)
+            p = int((on & bad).sum())
+            if rule and p >= min_covered and p >= min_precision * on.sum():
+                break
+        else:
             break
         rules.append(rule)
         x, bad, held = x[~on], bad[~on], held[~on]
