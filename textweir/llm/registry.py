@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filter
+from . import language_id, quality_rules, url_filter
 
 QUERIES = {
+    "op6_language_id": language_id.op6_language_id,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
