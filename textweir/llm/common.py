@@ -56,15 +56,15 @@ def normal_word(word: str) -> str:
     return word.lower().strip(EDGE)
 
 
-def _slices(text: pa.Array):
-    """Consecutive slices of about CHUNK bytes, a row at least."""
+def slices(text: pa.Array, chunk: int):
+    """(place, slice) of consecutive slices of about chunk bytes, a row at least."""
     if len(text) == 0:
         return
     size = np.cumsum(np.maximum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), 1).astype(np.int64))
     start = 0
     while start < len(text):
         base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + CHUNK, side="right")))
+        end = max(start + 1, int(np.searchsorted(size, base + chunk, side="right")))
         yield start, text.slice(start, end - start)
         start = end
 
@@ -73,14 +73,14 @@ def as_array(x) -> pa.Array:
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
-def split_words(text: pa.Array):
+def split_words(text: pa.Array, chunk: int = CHUNK):
     """Yields (first row, offsets, codes, words) for consecutive slices of a string column.
 
     Words are split at white space and brought to ``normal_word``; empty ones are left out.
     The words of the slice's row i are ``words[codes[offsets[i]:offsets[i + 1]]]``; ``words`` holds each
     form once. A null text has no words.
     """
-    for first, part in _slices(text):
+    for first, part in slices(text, chunk):
         lists = pc.utf8_split_whitespace(pc.fill_null(part, ""))
         flat = lists.flatten()
         encoded = pc.dictionary_encode(flat)
@@ -137,3 +137,8 @@ def check_broadcast(n: int, most: int, what: str) -> None:
     """What goes to every executor has a stated bound."""
     if n > most:
         raise ValueError(f"{what}: {n} entries; at most {most} are broadcast")
+
+
+def sized(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """The table, stored, with a broadcast hint if it has most_rows at most; beyond, joins with it shuffle."""
+    return F.broadcast(df) if df.count() <= most_rows else df

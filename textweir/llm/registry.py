@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_rules, url_filter
+from . import language_id, minhash, quality_rules, url_filter
 
 QUERIES = {
     "op6_language_id": language_id.op6_language_id,
+    "op8_minhash": minhash.op8_minhash,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
