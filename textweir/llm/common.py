@@ -77,27 +77,23 @@ def split_words(text: pa.Array, chunk: int = CHUNK):
     """Yields (first row, offsets, codes, words) for consecutive slices of a string column.
 
     Words are split at white space and brought to ``normal_word``; empty ones are left out.
-    The words of the slice's row i are ``words[codes[offsets[i]:offsets[i + 1]]]``; ``words`` holds each
-    form once. A null text has no words.
+    The words of the slice's row i are ``words[codes[offsets[i]:offsets[i + 1]]]``; ``words``, an Arrow array,
+    holds each form once, and the empty one, which no code means, if it came up. A null text has no words.
     """
     for first, part in slices(text, chunk):
         lists = pc.utf8_split_whitespace(pc.fill_null(part, ""))
         flat = lists.flatten()
         encoded = pc.dictionary_encode(flat)
-        raw = encoded.dictionary.to_pylist()
-        forms: dict[str, int] = {}
-        to = np.empty(len(raw) + 1, dtype=np.int64)
-        for i, w in enumerate(raw):
-            w = w.lower().strip(EDGE)
-            to[i] = forms.setdefault(w, len(forms)) if w else -1
-        codes = to[encoded.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
+        forms = pc.dictionary_encode(pc.utf8_trim(pc.utf8_lower(encoded.dictionary), EDGE))
+        codes = forms.indices.to_numpy(zero_copy_only=False)[encoded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
+        blank = pc.index(forms.dictionary, "").as_py()
         ends = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         ends = ends - ends[0]
-        keep = codes >= 0
-        if not keep.all():
+        if blank >= 0:
+            keep = codes != blank
             seen = np.concatenate(([0], np.cumsum(keep)))
             ends, codes = seen[ends], codes[keep]
-        yield first, ends, codes, list(forms)
+        yield first, ends, codes, forms.dictionary
 
 
 def distinct_in_rows(ends: np.ndarray, codes: np.ndarray, n_words: int):
@@ -114,12 +110,23 @@ def distinct_in_rows(ends: np.ndarray, codes: np.ndarray, n_words: int):
     return key // max(n_words, 1), key % max(n_words, 1), count
 
 
-def hash_words(words: list[str]) -> np.ndarray:
-    """Stable 64-bit hashes."""
-    import xxhash
-
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words), dtype=np.uint64, count=len(words))
+def hash_words(words: pa.Array) -> np.ndarray:
+    """Stable 64-bit hashes of an Arrow array of strings, from its buffers: a polynomial of the bytes, then scattered."""
+    n = len(words)
+    if n == 0:
+        return np.empty(0, np.uint64)
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = words.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
+    ends = offsets - offsets[0]
+    size = np.diff(ends)
+    place = np.arange(len(raw)) - np.repeat(ends[:-1], size)
+    power = np.full(int(size.max()) + 1, 0x9E3779B97F4A7C15, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * power[place], dtype=np.uint64)))
+    return mix(total[ends[1:]] - total[ends[:-1]] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,6 +136,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

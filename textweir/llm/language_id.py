@@ -57,22 +57,20 @@ def _count(batches, max_n: int):
     """(lang, n, gram, seen) of the partition: its words (n = 0) and their n-grams."""
     seen: dict[tuple[str, int], Counter] = defaultdict(Counter)
     for batch in batches:
-        langs = batch.column(0).to_pylist()
+        langs = np.array(batch.column(0).to_pylist(), dtype=object)
         for first, ends, codes, words in split_words(as_array(batch.column(1))):
-            own: dict[str, np.ndarray] = {}
-            for i in range(len(ends) - 1):
-                lang = langs[first + i]
-                if lang not in own:
-                    own[lang] = np.zeros(len(words), np.int64)
-                np.add.at(own[lang], codes[ends[i] : ends[i + 1]], 1)
-            for lang, count in own.items():
-                for k in np.flatnonzero(count):
-                    if has_letter(words[k]):
-                        seen[lang, 0][words[k]] += int(count[k])
-                        for n in range(1, max_n + 1):
-                            at = seen[lang, n]
-                            for g in grams(words[k], n):
-                                at[g] += int(count[k])
+            words, own = words.to_pylist(), langs[first : first + len(ends) - 1]
+            of = np.repeat(np.arange(len(own)), np.diff(ends))
+            for lang in set(own):
+                count = np.bincount(codes[(own == lang)[of]], minlength=len(words))
+                some = np.flatnonzero(count)
+                seen[lang, 0].update({words[k]: int(count[k]) for k in some if has_letter(words[k])})
+    for lang, _ in list(seen):
+        for n in range(1, max_n + 1):
+            at = seen[lang, n]
+            for word, count in seen[lang, 0].items():
+                for g in grams(word, n):
+                    at[g] += count
     for (lang, n), counts in seen.items():
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(counts)), pa.array([n] * len(counts), pa.int32()), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())],
@@ -116,6 +114,7 @@ def _score(model: LanguageModel, cache: dict[str, np.ndarray], text: pa.Array):
     n_langs = len(model.languages)
     mean, count = np.zeros((len(text), n_langs)), np.zeros(len(text), np.int64)
     for first, ends, codes, words in split_words(text):
+        words = words.to_pylist()
         cost, letters = np.zeros((len(words), n_langs), np.float32), np.zeros(len(words), bool)
         for k, w in enumerate(words):
             x = cache.get(w)

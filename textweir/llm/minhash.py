@@ -23,7 +23,7 @@ SLACK = 0.12
 _GOLD, _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def shingles(ends: np.ndarray, codes: np.ndarray, words: list[str], k: int = SHINGLE):
+def shingles(ends: np.ndarray, codes: np.ndarray, words: pa.Array, k: int = SHINGLE):
     """(row, 64-bit hash) of each run of k words; a row of fewer words has one shingle of all, an empty row none."""
     h = hash_words(words)[codes] if len(codes) else np.empty(0, np.uint64)
     lengths = np.diff(ends)
