@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash, packing, quality_rules, url_filter
+from . import language_id, minhash, packing, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op6_language_id": language_id.op6_language_id,
     "op8_minhash": minhash.op8_minhash,
     "op9_url_filter": url_filter.op9_url_filter,
