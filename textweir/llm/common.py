@@ -96,6 +96,42 @@ def split_words(text: pa.Array, chunk: int = CHUNK):
         yield first, ends, codes, forms.dictionary
 
 
+def space_chunks(text: pa.Array, chunk: int = 2 * CHUNK, odd_rows: str = "  |^ | $"):
+    """Yields (first row, offsets, codes, words, odd rows) for consecutive slices: texts cut at every single space.
+
+    Row i reads ``" ".join(words[codes[offsets[i]:offsets[i + 1]]])``. Rows that the pattern odd_rows is found in (at
+    least those with two spaces in a row, or one at an end) have no words but are in the dict of odd rows, whole. A
+    null text, like an empty one, has no words.
+    """
+    for first, part in slices(text, chunk):
+        part = pc.fill_null(part, "")
+        odd = np.flatnonzero(pc.match_substring_regex(part, odd_rows).to_numpy(zero_copy_only=False))
+        if len(odd):
+            whole = dict(zip(odd.tolist(), part.take(pa.array(odd)).to_pylist()))
+            plain = np.zeros(len(part), bool)
+            plain[odd] = True
+            part = pc.if_else(pa.array(plain), "", part)
+        else:
+            whole = {}
+        lists = pc.split_pattern(part, " ")
+        encoded = pc.dictionary_encode(lists.flatten())
+        codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = ends - ends[0]
+        blank = pc.index(encoded.dictionary, "").as_py()
+        if blank >= 0:  # only an empty text has it
+            keep = codes != blank
+            ends, codes = np.concatenate(([0], np.cumsum(keep)))[ends], codes[keep]
+        yield first, ends, codes, encoded.dictionary, whole
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ends: np.ndarray):
+    """(values, offsets): for each row i the stretches of flat that codes[ends[i]:ends[i + 1]] name, joined."""
+    many = sizes[codes]
+    at = np.concatenate((np.zeros(1, np.int64), np.cumsum(many)))
+    return flat[np.repeat(starts[codes] - at[:-1], many) + np.arange(at[-1])], at[ends]
+
+
 def distinct_in_rows(ends: np.ndarray, codes: np.ndarray, n_words: int):
     """(row, code, count) of the distinct codes of each row, sorted by row and code."""
     rows = np.repeat(np.arange(len(ends) - 1, dtype=np.int64), np.diff(ends))
