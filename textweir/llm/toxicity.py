@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_array, c, check_broadcast, distinct_in_rows, fresh, split_words, table
+from .common import as_array, c, check_broadcast, checkpoint, distinct_in_rows, fresh, split_words, table
 
 #: Labelled documents that a classifier is fitted on, at most; chosen by a hash of the id.
 MAX_TRAINING_ROWS = 8_000
 #: Features that a classifier may have, at most.
 MAX_FEATURES = 4_000
+#: Texts that a feature is in, and standard errors between its shares in the classes, at least.
+MIN_SEEN, MIN_CONTRAST = 5, 6.0
 #: Terms that stand for groups; those of one row may be swapped for one another.
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
@@ -50,72 +53,99 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-self.logit(words))))
 
 
-def fit_classifier(texts: list[set[str]], toxic: np.ndarray, terms=IDENTITY_TERMS, strength: float = 1.0, l2: float = 1e-3, rounds: int = 400, max_features: int = MAX_FEATURES, min_seen: int = 5) -> ToxicityModel:
-    """Logistic regression over sets of words with counterfactual logit pairing.
+def rows_of(words, kept: dict[str, int], terms=IDENTITY_TERMS) -> tuple[list[int], list[list[int]]]:
+    """(features of a text's distinct words, its swaps' differences), by number; a feature that a swap takes away is k + 1, one
+    that it adds -k - 1. A swap may change nothing."""
+    have = Counter(k for w in words for f in features_of(w) if (k := kept.get(f)) is not None)
+    words, out = set(words), []
+    for row in terms:
+        for t in row:
+            if t in words:
+                for other in row:
+                    if other != t:
+                        change = Counter({k: -1 for f in features_of(t) if (k := kept.get(f)) is not None})
+                        if other not in words:
+                            change.update(k for f in features_of(other) if (k := kept.get(f)) is not None)
+                        gone = [k + 1 for k, n in change.items() if n < 0 and have[k] + n == 0]
+                        out.append(gone + [-k - 1 for k, n in change.items() if n > 0 and have[k] == 0])
+    return sorted(have), out
+
+
+def train(cols: list, deltas: list, y: np.ndarray, d: int, strength: float = 1.0, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float, float]:
+    """(weights, bias, threshold) of a logistic regression with counterfactual logit pairing.
 
     The loss is the mean log loss, classes weighing alike, + strength * the mean squared difference between the
     logits of a text and of each of its swaps + l2 / 2 * the squared weights; full gradient steps with momentum from
-    zero, so the same rows give the same model. Features are the max_features words and word beginnings, of those in
-    min_seen texts, whose frequencies differ most between the classes, and all identity terms seen. The threshold
-    is where the fitted rows' balanced accuracy is best, 0.5 of equal ones. Without both classes everything scores 0.
+    zero, so the same rows give the same weights. The threshold is where the fitted rows' balanced accuracy is
+    best, the one next to 0.5 of equal ones.
     """
-    y = np.asarray(toxic, float)
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel({}, -30.0)
-    places: dict[str, int] = {}
-    sets = [np.unique(np.fromiter((places.setdefault(f, len(places)) for w in sorted(t) for f in features_of(w)), np.int64)) for t in texts]
-    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    n1, n0 = y.sum(), (1 - y).sum()
-    in1 = np.bincount(flat, weights=y[row], minlength=len(places))
-    every = np.bincount(flat, minlength=len(places))
-    p1, p0, p = in1 / n1, (every - in1) / n0, every / len(y)
-    z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    names = list(places)
-    usable = np.flatnonzero((every >= min_seen) & (z > 4))
-    best = sorted(usable, key=lambda k: (-z[k], names[k]))[:max_features]
-    kept = {names[k]: i for i, k in enumerate(best)}
-    for t in (t for r in terms for t in r):
-        if t in places:
-            kept.setdefault(t, len(kept))
-    d = len(kept)
-
-    def matrix(word_sets):
-        x = np.zeros((len(word_sets), d), np.float32)
-        for i, words in enumerate(word_sets):
-            for w in words:
-                for f in features_of(w):
-                    if (k := kept.get(f)) is not None:
-                        x[i, k] = 1
-        return x
-
-    x = matrix(texts)
-    pairs = [(i, s) for i, t in enumerate(texts) for s in swaps(t, terms)]
-    delta = x[[i for i, _ in pairs]] - matrix([s for _, s in pairs]) if pairs else np.zeros((0, d), np.float32)
-    share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    w, b, vw, vb = np.zeros(d), 0.0, np.zeros(d), 0.0
-    curve = 0.25 * float((share[:, None] * x * x.sum(axis=1, keepdims=True)).sum(axis=0).max() + 1) + l2
-    if len(delta):
-        curve += 2 * strength * float((np.abs(delta).sum(axis=1) ** 2).mean())
+    flat = lambda lists, kind=np.int32: (np.fromiter((k for x in lists for k in x), kind), np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+    col, row = flat(cols)
+    signed, pair = flat(deltas)
+    sign, dcol, pairs = np.sign(signed).astype(float), np.abs(signed) - 1, max(len(deltas), 1)
+    n, size = len(y), np.bincount(row, minlength=len(y))
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    curve = 0.25 * float(np.bincount(col, weights=(share * (size + 1))[row], minlength=d).max(initial=0) + 1) + l2
+    if len(signed):
+        curve += 2 * strength * float((np.bincount(pair, minlength=pairs) ** 2).sum() / pairs)
     rate = 1.0 / curve
+    w, b, vw, vb = np.zeros(d), 0.0, np.zeros(d), 0.0
     for _ in range(rounds):
-        err = share * (1 / (1 + np.exp(-(x @ w + b))) - y)
-        gw, gb = x.T @ err + l2 * w, err.sum()
-        if len(delta):
-            gw = gw + 2 * strength * (delta.T @ (delta @ w)) / len(delta)
+        z = np.bincount(row, weights=w[col], minlength=n) + b
+        err = share * (1 / (1 + np.exp(-z)) - y)
+        gw, gb = np.bincount(col, weights=err[row], minlength=d) + l2 * w, err.sum()
+        if len(signed):
+            change = np.bincount(pair, weights=sign * w[dcol], minlength=pairs)
+            gw = gw + 2 * strength * np.bincount(dcol, weights=sign * change[pair], minlength=d) / pairs
         vw, vb = 0.95 * vw - rate * gw, 0.95 * vb - rate * gb
         w, b = w + vw, b + vb
-    score = 1 / (1 + np.exp(-(x @ w + b)))
-    cuts = np.unique(np.concatenate(([0.5], (np.unique(score)[1:] + np.unique(score)[:-1]) / 2)))
-    quality = np.array([(score[y == 1] >= t).mean() - (score[y == 0] >= t).mean() for t in cuts])
+    score = 1 / (1 + np.exp(-(np.bincount(row, weights=w[col], minlength=n) + b)))
+    levels, at = np.unique(score, return_inverse=True)
+    # by cut between levels: what of either class lies above
+    above = lambda c: 1 - np.concatenate(([0], np.cumsum(np.bincount(at, weights=c, minlength=len(levels))))) / c.sum()
+    quality = above(y) - above(1 - y)
+    cuts = np.concatenate(([levels[0] / 2], (levels[1:] + levels[:-1]) / 2, [(levels[-1] + 1) / 2]))
+    cuts, quality = np.append(cuts, 0.5), np.append(quality, quality[np.searchsorted(levels, 0.5)])
     top = cuts[quality >= quality.max() - 1e-12]
-    threshold = float(top[np.argmin(np.abs(top - 0.5))])
-    return ToxicityModel({f: float(w[k]) for f, k in kept.items() if abs(w[k]) > 1e-6}, float(b), threshold)
+    return w, float(b), float(top[np.argmin(np.abs(top - 0.5))])
+
+
+def _as_model(kept: dict[str, int], w: np.ndarray, b: float, threshold: float) -> ToxicityModel:
+    return ToxicityModel({f: float(w[k]) for f, k in kept.items() if abs(w[k]) > 1e-6}, b, threshold)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS, **learning) -> ToxicityModel:
-    """Fits on the labelled documents of at most max_rows ids, those with the least hash; null ids, labels and texts are left out.
+def contrast(in1, in0, n1: float, n0: float, sqrt=np.sqrt, absolute=np.abs):
+    """How many standard errors a feature's shares in the two classes lie apart."""
+    p = (in1 + in0) / (n1 + n0)
+    return absolute(in1 / n1 - in0 / n0) / sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
 
-    Words are found on the executors; each document's distinct ones come to the driver.
+
+def fit_classifier(texts: list[set[str]], toxic: np.ndarray, terms=IDENTITY_TERMS, max_features: int = MAX_FEATURES, min_seen: int = MIN_SEEN, min_contrast: float = MIN_CONTRAST, **learning) -> ToxicityModel:
+    """train() over sets of words that are at hand.
+
+    Features are the max_features words and word beginnings, of those in min_seen texts, whose shares differ most
+    between the classes, and all identity terms seen. Without both classes nothing is toxic.
+    """
+    y = np.asarray(toxic, float)
+    if not len(y) or y.min() == y.max():
+        return ToxicityModel({}, -30.0)
+    both = [Counter(f for t, v in zip(texts, y) if v == k for f in {f for w in t for f in features_of(w)}) for k in (1, 0)]
+    value = {f: contrast(both[0][f], both[1][f], y.sum(), (1 - y).sum()) for f in both[0] | both[1] if both[0][f] + both[1][f] >= min_seen}
+    best = sorted((f for f, z in value.items() if z > min_contrast), key=lambda f: (-value[f], f))[:max_features]
+    kept = {f: k for k, f in enumerate(best)}
+    for t in (t for r in terms for t in r):
+        if both[0][t] + both[1][t]:
+            kept.setdefault(t, len(kept))
+    made = [rows_of(t, kept, terms) for t in texts]
+    return _as_model(kept, *train([x for x, _ in made], [s for _, x in made for s in x], y, len(kept), **learning))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms=IDENTITY_TERMS, max_rows: int = MAX_TRAINING_ROWS, max_features: int = MAX_FEATURES, min_seen: int = MIN_SEEN, min_contrast: float = MIN_CONTRAST, **learning) -> ToxicityModel:
+    """fit_classifier on the labelled documents of at most max_rows ids, those with the least hash; null ids, labels and
+    texts are left out.
+
+    Words and features are counted on the executors. To the driver come the features that are kept and, of each
+    document, their numbers.
     """
     i, y, t = c(id_col).alias("i"), c(label_col).cast("int").alias("y"), c(text_col).alias("t")
     sample = labels.select(i, y).dropna().groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(max_rows)
@@ -129,8 +159,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(first, len(ends) - 1) for k in (0, 1)] + [lists], names=["i", "y", "words"])
 
     own = docs.select(i, t).dropna().join(F.broadcast(sample), "i").select(F.col("i").cast("string").alias("i"), "y", "t")
-    rows = own.mapInArrow(words_of, "i string, y int, words array<string>").distinct().orderBy("i", "words").toArrow()
-    return fit_classifier([set(x) for x in rows["words"].to_pylist()], rows["y"].to_numpy().astype(float), **learning)
+    own = checkpoint(own.mapInArrow(words_of, "i string, y int, words array<string>").withColumn("words", F.array_sort("words")).distinct())
+    n1, n0 = own.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
+    if not n1 or not n0:
+        return ToxicityModel({}, -30.0)
+
+    def counted(batches):
+        seen: dict[str, list[int]] = {}
+        for batch in batches:
+            for v, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for f in {f for w in words for f in features_of(w)}:
+                    at = seen.setdefault(f, [0, 0])
+                    at[0 if v else 1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([x[k] for x in seen.values()], pa.int64()) for k in (0, 1))], names=["f", "in1", "in0"])
+
+    total = own.select("y", "words").mapInArrow(counted, "f string, in1 long, in0 long").groupBy("f").agg(F.sum("in1").alias("in1"), F.sum("in0").alias("in0"))
+    groups = [t for r in terms for t in r]
+    total = total.filter((F.col("in1") + F.col("in0") >= min_seen) | F.col("f").isin(groups)).withColumn("z", contrast(F.col("in1"), F.col("in0"), float(n1), float(n0), F.sqrt, F.abs))
+    best = total.filter((F.col("in1") + F.col("in0") >= min_seen) & (F.col("z") > min_contrast)).orderBy(F.desc("z"), "f").limit(max_features)
+    kept = {r["f"]: k for k, r in enumerate(best.collect())}
+    for r in total.filter(F.col("f").isin(groups)).orderBy("f").collect():
+        kept.setdefault(r["f"], len(kept))
+
+    def numbered(batches):
+        for batch in batches:
+            made = [rows_of(words, kept, terms) for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.list_(pa.int32())))], names=["i", "y", "cols", "deltas"])
+
+    rows = own.mapInArrow(numbered, "i string, y int, cols array<int>, deltas array<array<int>>").orderBy("i", "cols").drop("i").toArrow()
+    deltas = [s for x in rows["deltas"].to_pylist() for s in x]
+    return _as_model(kept, *train([x.values.to_numpy(zero_copy_only=False) for x in rows["cols"]], deltas, rows["y"].to_numpy().astype(float), len(kept), **learning))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text", out_col: str = "toxicity", most: int = 1_000_000) -> DataFrame:
