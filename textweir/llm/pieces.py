@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_array, c, fresh, gather, space_chunks, table
+from .common import CHUNK, as_array, c, fresh, gather, space_chunks, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -18,7 +18,9 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer words are gone through one by one, the others side by side.
 SIDE_BY_SIDE = 48
-_CACHED = 400_000
+_CACHED = 200_000
+#: Ids that are decoded at once, about; bounds a worker's memory, not what is read.
+_AT_ONCE = 1 << 18
 
 
 def _codes(text: str) -> np.ndarray:
@@ -243,31 +245,29 @@ def encode_texts(model: PieceModel, text: pa.Array, cache: dict[str, bytes] | No
     """Lists of ids. Spaces are escaped and one is put before the text; a null text is null, an empty one has no ids."""
     cache = {} if cache is None else cache
     lists = []
-    for start, ends, codes, words, odd in space_chunks(text):
-        words = words.to_pylist()
-        # the rows whose spaces don't stand alone are split by hand
+    for start, ends, codes, words, odd in space_chunks(text, CHUNK):
+        # rows whose spaces don't stand alone are split by hand
         extra = {}
         for k, x in odd.items():
-            escaped = SPACE + x.replace(" ", SPACE) if x else ""
-            extra[k] = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", escaped) if model.by_word else [escaped] * bool(escaped)
+            escaped = SPACE + x.replace(" ", SPACE)
+            extra[k] = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+$", escaped) if model.by_word else [escaped]
+        plain = words.to_pylist()
         if not model.by_word:
-            part = text.slice(start, len(ends) - 1)
-            for k, x in enumerate(part.to_pylist()):
-                extra[k] = [SPACE + x.replace(" ", SPACE)] if x else []
-            words, codes, ends = [], codes[:0], np.zeros_like(ends)
-        forms = [SPACE + w for w in words]
-        new = list(dict.fromkeys(w for w in forms if w not in cache))
-        new += list(dict.fromkeys(w for x in extra.values() for w in x if w not in cache))
+            extra = {k: [SPACE + x.replace(" ", SPACE)] if x else [] for k, x in enumerate(text.slice(start, len(ends) - 1).to_pylist())}
+            plain, codes, ends = [], codes[:0], np.zeros_like(ends)
+        parts = list(map(cache.get, plain))
+        new = [k for k, p in enumerate(parts) if p is None]
         if len(cache) + len(new) > _CACHED:
             cache.clear()
-            new = list(dict.fromkeys([*forms, *(w for x in extra.values() for w in x)]))
-        cache.update(zip(new, encode_many(model, new)))
-        parts = [cache[w] for w in forms]
+        for k, p in zip(new, encode_many(model, [SPACE + plain[k] for k in new])):
+            parts[k] = cache[plain[k]] = p
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), np.int32)
         values, offsets = gather(flat, np.cumsum(size) - size, size, codes, ends)
         if extra:
-            rows = {k: np.frombuffer(b"".join(cache[w] for w in x), np.int32) for k, x in extra.items()}
+            forms = list(dict.fromkeys(w for x in extra.values() for w in x))
+            found = dict(zip(forms, encode_many(model, forms)))
+            rows = {k: np.frombuffer(b"".join(found[w] for w in x), np.int32) for k, x in extra.items()}
             own = [rows.get(k, values[offsets[k] : offsets[k + 1]]) for k in range(len(ends) - 1)]
             values = np.concatenate(own) if own else values
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in own])))
@@ -284,6 +284,16 @@ def decode_ids(model: PieceModel, ids: pa.Array) -> pa.Array:
     A null list is null, as is one with an id that the model doesn't have, or a null one; control pieces are
     empty, bytes that aren't UTF-8 become U+FFFD.
     """
+    ends = ids.offsets.to_numpy(zero_copy_only=False)
+    out, start = [], 0
+    while start < len(ids):  # so many at once that what is gathered stays small
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + _AT_ONCE, side="right")) - 1)
+        out.append(_decode_slice(model, ids.slice(start, stop - start)))
+        start = stop
+    return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+
+def _decode_slice(model: PieceModel, ids: pa.Array) -> pa.Array:
     offsets = ids.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     values = ids.values.slice(offsets[0], offsets[-1] - offsets[0])
     known = values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
