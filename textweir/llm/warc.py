@@ -27,7 +27,9 @@ STEPS = (
     (rf"(?i)</?(?:{_BLOCKS})(?:[ \t\r\n/][^<>]*)?>", "\n"),
     (r"</?[A-Za-z!?][^<>]*>", ""),
 )
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"))
+#: Comes last, both ways to write it at once: what it begins isn't a reference again.
+AMPERSAND = "&(?:amp|#38);"
 SPACES = ((r"[ \t\r\f\x0B\x{00A0}]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
 TITLE, LANGUAGE, LINK = r"(?is)<title[^>]*>(.*?)(?:</title|\z)", r"(?is)<html[^>]* lang=\"([^\"]*)\"", r"(?is)<a [^>]*?href=\"([^\"]*)\""
 
@@ -38,24 +40,29 @@ def unescape(x: Column) -> Column:
     code = lambda e: F.regexp_replace(e, "[^0-9]", "").cast("long")
     sign = lambda e: F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
     valid = lambda e: (code(e).between(32, 0xD7FF)) | (code(e).between(0xE000, 0x10FFFF))
-    # & itself waits for the end, with &amp;
-    x = F.aggregate(F.filter(found, lambda e: valid(e) & (code(e) != 38)), x, lambda a, e: F.replace(a, e, sign(e)))
+    # & itself waits for the end
+    whole, x = x, F.aggregate(F.filter(found, lambda e: valid(e) & (code(e) != 38)), x, lambda a, e: F.replace(a, e, sign(e)))
     for name, to in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(to))
-    return x
+    x = F.regexp_replace(x, AMPERSAND, "&")
+    return F.when(F.contains(whole, F.lit("&")), x).otherwise(whole)
 
 
 def _spaced(x: Column) -> Column:
-    for pattern, to in SPACES:
+    for pattern, to in SPACES[:2]:
         x = F.regexp_replace(x, pattern, to)
-    return x
+    return F.btrim(x, F.lit(" \n"))  # as the last pattern has it
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and the title go, block tags end lines, references are decoded."""
+def stripped(html: Column) -> Column:
     for pattern, to in STEPS:
         html = F.regexp_replace(html, pattern, to)
-    return _spaced(unescape(html))
+    return html
+
+
+def html_text(html: Column) -> Column:
+    """Text of a page: scripts, styles, comments and the title go, block tags end lines, references are decoded."""
+    return _spaced(unescape(stripped(html)))
 
 
 def record_id(*parts: Column) -> Column:
@@ -103,9 +110,11 @@ def derive(responses: DataFrame, date: str = DATE) -> DataFrame:
         *(c(a).alias(f"__extra_{k}") for k, a in enumerate(extra)),
         F.col("record_id").alias("__source"), one_line(F.col("target_uri")).alias("target_uri"), F.col("warc_date").alias("source_date"), F.col("http_headers").alias("source_headers"),
         digest(F.concat(head, F.lit("\r\n\r\n"), payload)).alias("source_block_digest"), digest(payload).alias("source_payload_digest"), F.octet_length(payload).alias("__bytes"),
-        html_text(payload).alias("__text"), one_line(_spaced(unescape(F.regexp_extract(payload, TITLE, 1)))).alias("__title"), one_line(F.regexp_extract(payload, LANGUAGE, 1)).alias("__language"),
+        stripped(payload).alias("__stripped"), one_line(_spaced(unescape(F.regexp_extract(payload, TITLE, 1)))).alias("__title"), one_line(F.regexp_extract(payload, LANGUAGE, 1)).alias("__language"),
         F.transform(F.regexp_extract_all(payload, F.lit(LINK), 1), lambda x: F.concat(F.lit("outlink: "), one_line(x))).alias("__links"),
     )
+    # steps of their own, so that no step's text is made again where it is used twice
+    r = r.withColumn("__text", _spaced(unescape(F.col("__stripped")))).drop("__stripped")
     line = lambda name, x: F.concat(F.lit(f"{name}: "), x)
     headers = F.transform(F.split(F.col("source_headers"), "\r?\n"), lambda x: F.concat(F.lit("http-header: "), x))
     fields = F.concat(
@@ -211,7 +220,7 @@ def _sql() -> str:
         x = f"list_reduce(list_prepend({x}, {found}), lambda a, e: replace(a, e, chr(CAST(e[3:-2] AS INTEGER))))"
         for name, to in ENTITIES:
             x = f"replace({x}, {_quoted(name)}, {_quoted(to)})"
-        return x
+        return f"regexp_replace({x}, '{AMPERSAND}', '&', 'g')"
 
     def urn(x: str) -> str:
         return f"'<urn:uuid:' || {x}[1:8] || '-' || {x}[9:12] || '-' || {x}[13:16] || '-' || {x}[17:20] || '-' || {x}[21:32] || '>'"
