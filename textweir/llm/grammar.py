@@ -66,34 +66,34 @@ class Grammar:
         return self.expand(symbols[a : b + 1])[start - skipped : stop - skipped]
 
 
-def _frequent(seq: np.ndarray, k: int, min_count: int, seed: int):
+def _frequent(seq: np.ndarray, min_count: int, seed: int):
     """(positions, number of the pair there, pairs) of the pairs that begin at min_count positions at least.
 
-    Pairs are counted in a table of hash values, each kept for the pair that was written there last; a pair that
-    loses its place may get one in the next round, under another hash. Numbers go from the most frequent down.
+    Pairs are counted by sorting and looked up in a table of hash values, where of several the most frequent has the
+    place; the others get one in another round, under another hash. Numbers go from the most frequent down.
     """
-    key = seq[:-1].astype(np.uint64) * np.uint64(k) + seq[1:].astype(np.uint64)
-    bits = min(22, max(10, int(np.log2(len(key) + 1)) + 1))
-    slot = ((key * np.uint64(seed)) >> np.uint64(64 - bits)).astype(np.int64)
-    inside = (seq[:-1] >= 0) & (seq[1:] >= 0)
-    count = np.bincount(slot[inside], minlength=1 << bits)
-    at = np.flatnonzero(inside & (count[slot] >= min_count))
-    if not len(at):
-        return at, at, np.empty((0, 2), np.int64)
-    slot, key = slot[at], key[at]
-    owner = np.zeros(1 << bits, np.uint64)
-    owner[slot] = key
-    own = owner[slot] == key
-    at, slot = at[own], slot[own]
-    count = np.bincount(slot, minlength=1 << bits)
+    kind, half = seq.dtype.type, seq.dtype.itemsize * 4
+    end = kind((1 << half) - 1)
+    key = (seq[:-1] << kind(half)) | seq[1:]
+    ordered = np.sort(key)
+    cut = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]))
+    count = np.diff(cut)
     good = np.flatnonzero(count >= min_count)
-    good = good[np.lexsort((owner[good], -count[good]))]
-    rank = np.full(1 << bits, -1, np.int32)
-    rank[good] = np.arange(len(good))
-    number = rank[slot]
-    own = number >= 0
-    pair = owner[good].astype(np.int64)
-    return at[own], number[own], np.stack((pair // k, pair % k), axis=1)
+    pair, count = ordered[cut[good]], count[good]
+    real = (pair >> kind(half) != end) & (pair & end != end)
+    pair, count = pair[real], count[real]
+    pair = pair[np.argsort(-count, kind="stable")]
+    bits = max(10, int(np.log2(len(pair) + 1)) + 4)
+    odd, shift = kind(seed & ((1 << 2 * half) - 1) | 1), kind(2 * half - min(bits, 2 * half - 1))
+    place = ((pair * odd) >> shift)[::-1]
+    holder, name = np.zeros(1 << bits, kind), np.full(1 << bits, -1, np.int32)
+    holder[place], name[place] = pair[::-1], np.arange(len(pair), dtype=np.int32)[::-1]
+    slot = (key * odd) >> shift
+    at = np.flatnonzero(holder[slot] == key)
+    number = name[slot[at]]
+    if len(number) and number.min() < 0:  # the pair 0, 0 looks like an empty place
+        at, number = at[number >= 0], number[number >= 0]
+    return at, number, np.stack((pair >> kind(half), pair & end), axis=1).astype(np.int64)
 
 
 def _disjoint(at: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -133,17 +133,19 @@ def re_pair(documents: list[np.ndarray], min_count: int = MIN_COUNT, symbols: in
     else:
         alphabet, codes = np.unique(ids, return_inverse=True)
         codes = codes.astype(np.int32)
-    # a separator behind every sequence
-    seq = np.full(len(codes) + len(documents), -1, np.int32)
-    seq[np.arange(len(codes)) + np.repeat(np.arange(len(documents)), lengths)] = codes
     base, rules, sizes = len(alphabet), [], [np.ones(len(alphabet), np.int64)]
-    made, most = 0, max(symbols, base) - base
+    made, most = 0, (symbols if base <= symbols * 3 // 4 else 1 << 24) - base
+    # a separator behind every sequence, the greatest number of its type; no symbol has it
+    kind = np.uint32 if base + most <= 1 << 16 else np.uint64
+    end = kind((1 << (kind().itemsize * 4)) - 1)
+    most = min(most, int(end) - base)
+    seq = np.full(len(codes) + len(documents), end, kind)
+    seq[np.arange(len(codes)) + np.repeat(np.arange(len(documents)), lengths)] = codes
     for r in range(rounds):
         if len(seq) < 2 or made >= most:
             break
-        k = base + made + 1
         seed = (0x9E3779B97F4A7C15 * (2 * r + 1)) % 2**64 | 1
-        at, number, pairs = _frequent(seq, k, min_count, seed)
+        at, number, pairs = _frequent(seq, min_count, seed)
         if not len(at):
             break
         taken = _disjoint(at, number)
@@ -153,7 +155,7 @@ def re_pair(documents: list[np.ndarray], min_count: int = MIN_COUNT, symbols: in
         good = np.sort(good[np.argsort(-count[good], kind="stable")[: most - made]])
         if not len(good):
             break
-        name = np.full(len(pairs), -1, np.int32)
+        name = np.full(len(pairs), -1, np.int64)
         name[good] = np.arange(len(good)) + base + made
         at, fresh_name = at[name[number] >= 0], name[number]
         fresh_name = fresh_name[fresh_name >= 0]
@@ -168,7 +170,7 @@ def re_pair(documents: list[np.ndarray], min_count: int = MIN_COUNT, symbols: in
         if before - len(seq) < before // 1000:
             break
     grammar = Grammar(alphabet.astype(np.int32), np.concatenate([*rules, np.empty((0, 2), np.int64)]).astype(np.int64), np.concatenate(sizes))
-    cut = np.flatnonzero(seq < 0)
+    cut = np.flatnonzero(seq == end)
     starts = np.concatenate(([0], cut[:-1] + 1)) if len(cut) else cut
     return grammar, [seq[a:b].astype(grammar.width) for a, b in zip(starts.tolist(), cut.tolist())]
 
@@ -274,30 +276,55 @@ def _encoder(path: str, pattern: str, encoders: dict = {}):  # noqa: B006
     return encoders[path, pattern]
 
 
+def encode_words(encoder, words: list[str], begins: np.ndarray) -> list[bytes]:
+    """Ids, as bytes of int32, of words without spaces that follow one; begins: whether an id's bytes begin with a space.
+
+    They are encoded as one text, in which just the ids at the words' beginnings begin with a space.
+    """
+    if not words:
+        return []
+    ids = np.array(encoder.encode_ordinary(" " + " ".join(words)), np.int32)
+    at = np.flatnonzero(begins[ids])
+    if len(at) != len(words):
+        raise ValueError("the vocabulary joins words: give another pattern")
+    raw = ids.tobytes()
+    cut = [*(at * 4).tolist(), len(raw)]
+    return [raw[b:e] for b, e in zip(cut, cut[1:])]
+
+
+def space_ids(encoder) -> np.ndarray:
+    """By id, whether its bytes begin with a space."""
+    return np.array([encoder.decode_single_token_bytes(k)[:1] == b" " for k in range(encoder.n_vocab)])
+
+
+def encoder_begins(encoder, held: dict = {}) -> np.ndarray:  # noqa: B006
+    if id(encoder) not in held:
+        held[id(encoder)] = encoder, space_ids(encoder)
+    return held[id(encoder)][1]
+
+
 def token_lists(encoder, text: pa.Array, cache: dict[str, bytes]):
     """Yields (first row, ids, offsets) for slices of a text column; as the encoder has it, each word form once.
 
     With PATTERN a single space begins a new piece and is its first sign, so words can be encoded one by one; texts
     with white space beside a space are encoded whole.
     """
+    begins = encoder_begins(encoder)
     for first, ends, codes, words, odd in space_chunks(text, odd_rows=ODD):
-        # the first word of a text has no space before it
-        lead = ends[:-1][np.diff(ends) > 0]
-        code = codes * 2 + 1
-        code[lead] -= 1
-        used = np.zeros(2 * len(words) + 2, bool)
-        used[code] = True
-        forms = np.flatnonzero(used)
-        code = (np.cumsum(used) - 1)[code]
         plain = words.to_pylist()
-        names = [(" " if k & 1 else "") + plain[k >> 1] for k in forms.tolist()]
-        if len(cache) > _CACHED:
+        parts = list(map(cache.get, plain))
+        new = [k for k, p in enumerate(parts) if p is None]
+        if len(cache) + len(new) > _CACHED:
             cache.clear()
-        new = [w for w in names if w not in cache]
-        cache.update(zip(new, (np.array(x, np.int32).tobytes() for x in map(encoder.encode_ordinary, new))))
-        parts = [cache[w] for w in names]
+        for k, p in zip(new, encode_words(encoder, [plain[k] for k in new], begins)):
+            parts[k] = cache[plain[k]] = p
+        # the first word of a text has no space before it
+        lead = ends[:-1][np.diff(ends) > 0]
+        some, which = np.unique(codes[lead], return_inverse=True)
+        codes[lead] = len(parts) + which
+        parts += [np.array(encoder.encode_ordinary(plain[k]), np.int32).tobytes() for k in some.tolist()]
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        values, offsets = gather(np.frombuffer(b"".join(parts), np.int32), np.cumsum(size) - size, size, code, ends)
+        values, offsets = gather(np.frombuffer(b"".join(parts), np.int32), np.cumsum(size) - size, size, codes, ends)
         if odd:
             whole = {k: np.array(encoder.encode_ordinary(x), np.int32) for k, x in odd.items()}
             own = [whole.get(k, values[offsets[k] : offsets[k + 1]]) for k in range(len(ends) - 1)]
