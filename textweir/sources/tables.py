@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from pathlib import PurePosixPath
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +80,6 @@ class Store:
 
 def half(v):
     """Rounded to half precision."""
-    import numpy as np
-    import pyarrow as pa
-
     @F.arrow_udf("array<float>")
     def rounded(x: pa.Array) -> pa.Array:
         values = x.values.to_numpy(zero_copy_only=False).astype(np.float16).astype(np.float32)
