@@ -15,9 +15,10 @@ from .components import components
 THRESHOLD = 0.95
 #: Width of a bucket, in units of the vectors' length.
 WIDTH = 1.5
-#: Hash functions of a table, at least; more for large tables, so that a bucket holds few strangers.
+#: Hash functions of a table, at least; more for large tables, so that hardly any vector shares a bucket with a stranger
+#: and what is moved are the vectors that have near ones.
 LEAST_HASHES = 10
-STRANGERS = 4.0
+STRANGERS = 0.05
 #: Chance that a pair at the threshold shares a bucket of some table.
 RECALL = 0.99
 
