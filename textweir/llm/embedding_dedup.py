@@ -161,7 +161,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     copies = based.filter("id <> rep").join(own.select(F.col("id").alias("rep")).distinct(), "rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     hashes, tables = plan_tables(own.count(), threshold, recall, width)
-    keys = own.mapInArrow(_keys_of(hashes, tables, width, seed), "id long, key long").distinct()
+    keys = own.mapInArrow(_keys_of(hashes, tables, width, seed), "id long, key long")
     by_key = Window.partitionBy("key")
     shared = keys.select("id", "key", F.count("*").over(by_key).alias("n")).filter("n > 1").select("id", "key")
     near = shared.join(own, "id").groupBy("key").applyInArrow(_forests(threshold), "u long, v long").distinct()
