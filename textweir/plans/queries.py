@@ -210,8 +210,9 @@ v AS (SELECT *, CASE WHEN i > 0 THEN 10 ELSE 0 END AS lo, least(100, n - i) AS s
 
 @query(f"{_WINDOWS} SELECT doc_id, passage, size AS n_words, CASE WHEN size > lo THEN least(size, 90) - lo ELSE 0 END AS n_owned FROM v WHERE size > lo")
 def passages(spark, sf_dir):
-    windows = gen_passages(_words(), "string", size=100, stride=80)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(windows).alias("passage", "w"))
+    # words are a column of their own: a lambda would find them again for every window
+    windows = gen_passages(F.col("words"), "string", size=100, stride=80)
+    rows = table(spark, sf_dir, "documents").select("doc_id", _words().alias("words")).select("doc_id", F.posexplode(windows).alias("passage", "w"))
     owned = F.aggregate(c("w")["mask"], F.lit(0).cast("bigint"), lambda s, x: s + x)
     return rows.select("doc_id", F.col("passage").cast("bigint").alias("passage"), F.size(c("w")["tokens"]).cast("bigint").alias("n_words"), owned.alias("n_owned"))
 
@@ -219,8 +220,8 @@ def passages(spark, sf_dir):
 @query(f"SELECT doc_id, len({_WORDS}) AS n_owned FROM documents WHERE len({_WORDS}) > 0")
 def passage_mask_coverage(spark, sf_dir):
     """Every word is owned by one passage."""
-    windows = gen_passages(_words(), "string", size=32, stride=20, start_tokens=["<s>"], pad_token="<pad>")
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(windows).alias("w"))
+    windows = gen_passages(F.col("words"), "string", size=32, stride=20, start_tokens=["<s>"], pad_token="<pad>")
+    rows = table(spark, sf_dir, "documents").select("doc_id", _words().alias("words")).select("doc_id", F.explode(windows).alias("w"))
     return rows.groupBy("doc_id").agg(F.sum(F.aggregate(c("w")["mask"], F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("n_owned"))
 
 
