@@ -3,6 +3,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import DATA
 
@@ -120,3 +121,29 @@ def test_registered():
         from textweir.llm.common import check_broadcast
 
         check_broadcast(3, 2, "rules")
+
+
+def test_all_shards_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    got, want = windows(K.pack(docs, window=512, shard_docs=30, rare=20)), brute(rows, 512, 20)
+    assert len({r.shard for r in K.pack(docs, window=512, shard_docs=30, rare=20).select("shard").distinct().collect()}) > 3
+    # near ties may change places, as above; neighbours are those of the whole corpus and not of a seed's shard
+    assert sum(a in want for a in got) >= 0.9 * len(want)
+
+
+def test_windows_ask_until_full(monkeypatch):
+    monkeypatch.setattr(K, "SHARD_DOCS", 4)
+    rng = np.random.default_rng(0)
+    lengths, scores = rng.integers(1, 40, 600), rng.integers(0, 500, (600, 600))
+
+    def hits(free, room, seeds, k):
+        keys = np.where((scores[seeds] > 0) & free & (lengths <= room[seeds, None]), (scores[seeds].astype(np.int64) << 32) - np.arange(600), 0)
+        return np.sort(keys, axis=1)[:, ::-1][:, :k]
+
+    rows = list(K.fill_windows(lengths, hits, 2000, most=16))
+    size = Counter()
+    for _, w, _, _, _, n, _ in rows:
+        size[w] += n
+    assert sorted(r[3] for r in rows) == list(range(600)) and max(size.values()) <= 2000
+    assert len(size) <= math.ceil(lengths.sum() / 2000) + 1

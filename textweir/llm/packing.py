@@ -1,21 +1,28 @@
-"""Packing: training windows filled with the BM25 neighbours of a seed document, shard by shard."""
+"""Packing: training windows filled with the BM25 neighbours of a seed document, searched in all shards."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_array, c, check_broadcast, distinct_in_rows, hash_words, split_words, table
+from .common import as_array, c, check_broadcast, checkpoint, distinct_in_rows, hash_words, split_words, table
 
 WINDOW = 2048
 SHARD_DOCS = 1024
 K1, B = 1.2, 0.75
 #: A word in fewer than one of so many documents gets the weight of one in just so many.
 RARE = 4096
+#: Seeds that ask at once, at most; those of a block are scored together.
+SEEDS, BLOCK = 8192, 1024
+#: Scores are kept to so many parts of one.
+SCALE = 10_000
 _SCHEMA = "shard long, window int, position int, doc_id long, first_word int, n_words int, score double"
 
 
@@ -75,99 +82,256 @@ def corpus_stats(texts: DataFrame, rare: int = RARE, most: int = 20_000_000) ->
     return CorpusStats(docs, words, rows["key"].to_numpy(), rows["n"].to_numpy(), rare)
 
 
-def bm25_matrix(ends: np.ndarray, codes: np.ndarray, words: pa.Array, stats: CorpusStats) -> np.ndarray:
-    """Score of each of the shard's documents (columns) for the distinct words of each (rows); 4 decimals.
+def bm25_block(q: tuple, n_q: int, d: tuple, n_d: int, n_words: int) -> np.ndarray:
+    """Scores (4 decimals, as whole numbers) of n_d documents for n_q queries, given (row, word, weight) of either.
 
     Posting lists of words in more than a sixteenth of the documents are held as vectors and multiplied; the others
     are joined posting by posting. Both are exact.
     """
-    n = len(ends) - 1
-    row, code, tf = distinct_in_rows(ends, codes, len(words))
-    length = np.diff(ends)
-    own = np.bincount(code, minlength=len(words))
-    idf = stats.weights(words)
-    w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / max(stats.mean, 1e-9)))
-    frequent = own > max(n / 16, 1)
+    own = np.bincount(d[1], minlength=n_words)
+    frequent = own > max(n_d / 16, 1)
     place = np.cumsum(frequent) - 1
-    dense = frequent[code]
-    q = np.zeros((n, int(frequent.sum())), np.float32)
-    x = np.zeros_like(q)
-    q[row[dense], place[code[dense]]] = idf[code[dense]]
-    x[row[dense], place[code[dense]]] = w[dense]
-    scores = (q @ x.T).astype(np.float64)
-    tail = ~dense & (own[code] > 1)
-    order = np.argsort(code[tail], kind="stable")
-    row, code, w = row[tail][order], code[tail][order], w[tail][order]
-    if len(code):
-        start = np.searchsorted(code, code, side="left")
+    vectors = []
+    for (row, code, weight), n in ((q, n_q), (d, n_d)):
+        dense = frequent[code]
+        x = np.zeros((n, int(frequent.sum())), np.float32)
+        x[row[dense], place[code[dense]]] = weight[dense]
+        vectors.append(x)
+    scores = vectors[0] @ vectors[1].T
+    tail = np.flatnonzero(~frequent[d[1]])
+    tail = tail[np.argsort(d[1][tail], kind="stable")]
+    start = np.searchsorted(d[1][tail], np.arange(n_words))
+    ask = np.flatnonzero(~frequent[q[1]] & (own[q[1]] > 0))
+    if len(ask):
+        code = q[1][ask]
         many = own[code]
-        left = np.repeat(np.arange(len(code)), many)
-        right = np.repeat(start, many) + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
-        scores += np.bincount(row[left] * n + row[right], weights=idf[code[left]] * w[right], minlength=n * n).reshape(n, n)
-    return np.round(scores, 4)
+        left = np.repeat(ask, many)
+        right = tail[np.repeat(start[code], many) + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)]
+        scores += np.bincount(q[0][left] * n_d + d[0][right], weights=q[2][left] * d[2][right], minlength=n_q * n_d).reshape(n_q, n_d)
+    return np.rint(scores * SCALE).astype(np.int64)
 
 
-def fill_windows(lengths: np.ndarray, scores, window: int):
-    """Yields (window, position, document, first word, words, score or None).
+def _best(keys: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, in no order."""
+    return keys if keys.shape[1] <= k else np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:]
+
+
+def _entries(ends: np.ndarray, keep: np.ndarray, *values: np.ndarray):
+    """(row among those kept, value...) of the entries of the rows to keep."""
+    many = np.diff(ends)
+    inside = np.repeat(keep, many)
+    return np.repeat((np.cumsum(keep) - 1)[keep], many[keep]), *(x[inside] for x in values)
+
+
+def _shards(batches):
+    """(shard, ends, codes, weights, hashes of words, idf) of each shard of the index in the partition."""
+    for batch in batches:
+        for row in batch.select(["shard", "ends", "codes", "weights", "words", "idf"]).to_pylist():
+            yield row["shard"], *(np.frombuffer(row[x], t) for x, t in (("ends", np.int64), ("codes", np.int32), ("weights", np.float32), ("words", np.int64), ("idf", np.float32)))
+
+
+class _Corpus:
+    """The documents in the order in which they are seeds: a few bytes each, held by the driver."""
+
+    def __init__(self, index: DataFrame):
+        got = index.select("shard", "ids", "lengths").toArrow().to_pylist()
+        got.sort(key=lambda r: r["shard"])
+        sizes = [len(r["ids"]) for r in got]
+        self.first = dict(zip([r["shard"] for r in got], np.cumsum([0, *sizes])[:-1].tolist()))
+        ids = [i for r in got for i in r["ids"]]
+        null = np.array([i is None for i in ids], bool)
+        order = np.lexsort((np.arange(len(ids)), np.array([i or 0 for i in ids], np.int64), null))
+        self.rank = np.empty(len(ids), np.int64)
+        self.rank[order] = np.arange(len(ids))
+        self.ids, self.null = np.array([i or 0 for i in ids], np.int64)[order], null[order]
+        self.shard = np.repeat(np.array([r["shard"] for r in got], np.int64), sizes)[order]
+        self.words_in = np.concatenate([np.frombuffer(r["lengths"], np.int32) for r in got] or [np.empty(0, np.int32)])[order].astype(np.int64)
+
+
+def _hits(index: DataFrame, corpus: _Corpus, free: np.ndarray, room: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Row by row the k best free documents of all shards that fit the room of each seed (by number, ascending), best first.
+
+    A hit is score * 2**32 - number of the document, so that of equal ones the first is greater; 0 is none.
+    """
+    sc = index.sparkSession.sparkContext
+    first, rank, words_in = corpus.first, corpus.rank, corpus.words_in
+    wanted = np.zeros(len(free), bool)
+    wanted[seeds] = True
+    asked = sc.broadcast((first, rank, wanted))
+
+    def ask(batches):
+        first, rank, wanted = asked.value
+        for shard, ends, codes, _, words, idf in _shards(batches):
+            own = rank[first[shard] : first[shard] + len(ends) - 1]
+            if (keep := wanted[own]).any():
+                row, code = _entries(ends, keep, codes)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own[keep][row], words[code], idf[code])], names=["seed", "word", "idf"])
+
+    asks = index.mapInArrow(ask, "seed binary, word binary, idf binary").toArrow()
+    seed, word, idf = (np.frombuffer(b"".join(asks[x].to_pylist()), t) for x, t in (("seed", np.int64), ("word", np.int64), ("idf", np.float32)))
+    words, at, code = np.unique(word, return_index=True, return_inverse=True)
+    order = np.argsort(seed, kind="stable")
+    row, code = np.searchsorted(seeds, seed[order]).astype(np.int32), code[order].astype(np.int32)
+    cuts = np.searchsorted(row, np.arange(0, len(seeds) + BLOCK, BLOCK))
+    shared = sc.broadcast((first, rank, free, words_in, words, idf[at], row, code, cuts, room[seeds]))
+
+    def search(batches):
+        first, rank, free, lengths, words, idf, row, code, cuts, room = shared.value
+        best = [np.zeros((min(BLOCK, len(room) - i), k), np.int64) for i in range(0, len(room), BLOCK)]
+        for shard, ends, codes, weights, own_words, _ in _shards(batches):
+            own = rank[first[shard] : first[shard] + len(ends) - 1]
+            if not (keep := free[own]).any():
+                continue
+            own = own[keep]
+            at = np.minimum(np.searchsorted(words, own_words), max(len(words) - 1, 0))
+            met = words[at] == own_words
+            back = np.full(len(words), -1)
+            back[at[met]] = np.flatnonzero(met)
+            d_row, d_code, d_weight = _entries(ends, keep, codes, weights)
+            for b, held in enumerate(best):
+                part = slice(cuts[b], cuts[b + 1])
+                q_code = back[code[part]]
+                there = q_code >= 0
+                q = (row[part][there].astype(np.int64) - b * BLOCK, q_code[there], idf[code[part][there]])
+                scores = bm25_block(q, len(held), (d_row, d_code, d_weight), len(own), len(own_words))
+                keys = np.where((scores > 0) & (lengths[own] <= room[b * BLOCK : b * BLOCK + len(held), None]), (scores << 32) - own, 0)
+                best[b] = _best(np.concatenate((held, _best(keys, k)), axis=1), k)
+        for b, held in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["block", "keys"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, k) for x in group["keys"].to_pylist()], axis=1)
+        return pa.table({"block": group["block"][:1], "keys": pa.array([np.sort(_best(keys, k), axis=1)[:, ::-1].tobytes()], pa.binary())})
+
+    merged = index.mapInArrow(search, "block int, keys binary").groupBy("block").applyInArrow(merge, "block int, keys binary").toArrow()
+    blocks = sorted(zip(merged["block"].to_pylist(), merged["keys"].to_pylist()))
+    asked.destroy()
+    shared.destroy()
+    return np.frombuffer(b"".join(x for _, x in blocks), np.int64).reshape(len(seeds), k)
+
+
+def fill_windows(lengths: np.ndarray, hits_of, window: int, most: int = SEEDS):
+    """Yields (seed, window, position, document, first word, words, score or None), windows numbered from 0.
 
     Documents are seeds in their order, unless used before. What of a document exceeds a window fills windows of its
     own; its rest is the seed. A window takes the unused document that scores best for the seed, above 0, and still
     fits, again and again; of equal ones the first.
+
+    hits_of(free, room, seeds, k) is asked in rounds for the k best free documents. A window whose k hits are used up
+    stays open and asks again; a seed that would find few of its hits unused waits for the next round. So a window
+    is closed only when no unused document that scores above 0 fits.
     """
     free, at = lengths > 0, -1
     rest = np.where(lengths > 0, lengths % window, 0)
-    for seed in range(len(lengths)):
-        if not free[seed]:
-            continue
-        free[seed] = False
-        for first in range(0, int(lengths[seed] - rest[seed]), window):
-            at += 1
-            yield at, 0, seed, first, window, None
-        if not rest[seed]:
-            continue
-        at += 1
-        yield at, 0, seed, int(lengths[seed] - rest[seed]), int(rest[seed]), None
-        room, position = window - rest[seed], 1
-        fits = np.flatnonzero(free & (lengths <= room) & (scores[seed] > 0))
-        for k in fits[np.argsort(-scores[seed][fits], kind="stable")]:
-            if lengths[k] <= room:
-                free[k] = False
-                room -= lengths[k]
-                yield at, position, int(k), 0, int(lengths[k]), float(scores[seed][k])
+    room = np.where(rest > 0, window - rest, 0)
+    held: dict[int, tuple[int, int]] = {}  # open windows: seed -> window, next position
+    per_window = max(1, math.ceil(window / max(1.0, lengths[free].mean()))) if free.any() else 1
+    usual = min(512, max(32, 4 * per_window))
+    while free.any():
+        n = int(free.sum())
+        k = n if n <= SHARD_DOCS else usual
+        waiting = list(held)[:most]
+        fresh = np.flatnonzero(free)[: n if n <= SHARD_DOCS else max(1, min(most, max(n // (4 * per_window), 256)) - len(waiting))]
+        seeds = np.union1d(np.array(waiting, np.int64), fresh[rest[fresh] > 0])
+        hits = hits_of(free, room, seeds, k) if len(seeds) else np.empty((0, k), np.int64)
+        least, moved = int(lengths[free].min()), False
+        for seed in [*waiting, *fresh.tolist()]:
+            opened = seed in held
+            if not opened and not free[seed]:
+                continue
+            took, left = [], int(room[seed])
+            if rest[seed]:
+                own = hits[np.searchsorted(seeds, seed)]
+                own = own[own > 0]
+                scores = -(-own >> 32)
+                docs = (scores << 32) - own
+                for d, s in zip(docs[free[docs]].tolist(), scores[free[docs]].tolist()):
+                    if lengths[d] <= left and d != seed:
+                        took.append((d, s / SCALE))
+                        left -= int(lengths[d])
+                more = len(own) == k < n and left >= least
+            else:
+                more = False
+            if more and not opened and moved and len(took) < k // 4:
+                continue
+            moved = True
+            if opened:
+                number, position = held[seed]
+            else:
+                free[seed] = False
+                for first in range(0, int(lengths[seed] - rest[seed]), window):
+                    at += 1
+                    yield seed, at, 0, seed, first, window, None
+                if not rest[seed]:
+                    continue
+                at += 1
+                number, position = at, 1
+                yield seed, at, 0, seed, int(lengths[seed] - rest[seed]), int(rest[seed]), None
+            for d, s in took:
+                free[d] = False
+                yield seed, number, position, d, 0, int(lengths[d]), s
                 position += 1
+            room[seed] = left
+            held.pop(seed, None)
+            if more:
+                held[seed] = (number, position)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS, rare: int = RARE) -> DataFrame:
     """One row for each stretch of a document in a window: shard, window, position, id, first word, words, BM25 score.
 
-    Documents are spread over shards of about shard_docs by a hash of id and text; each shard is an index of its
-    own, as large corpora are packed, so that work grows with the corpus and not with its square. Within the shard
-    every unused document is a candidate, and scores are exact. Word weights come from counts over all documents.
+    The inverted index lies in shards of about shard_docs documents, by a hash of id and text. Every seed asks all
+    shards, and the best hits of all are merged: each unused document of the corpus is a candidate, and scores are
+    exact, so the windows don't depend on the shards. This work grows with the square of the corpus. Windows are
+    filled one after another by the driver, which holds some 40 bytes a document. The shard of a row is the seed's.
     Words are lower-cased, split at white space and freed of signs at their ends; a seed asks with its distinct words.
 
     Every word of every document is in exactly one window. A null id is kept as null; a null text or one without
-    words is in no window. Repeated rows are documents of their own. Seeds go by id (nulls last), then text. An
-    empty table gives no rows. Extra columns are ignored.
+    words is in no window. Repeated rows are documents of their own. Seeds go by id (nulls last); of equal ids, by
+    shard, then text. An empty table gives no rows. Extra columns are ignored.
     """
+    spark = df.sparkSession
     docs = df.select(c(id_col).cast("long").alias("doc_id"), c(text_col).alias("text")).filter("text IS NOT NULL")
     stats = corpus_stats(docs.select("text"), rare)
     shards = max(1, math.ceil(stats.docs / shard_docs))
-    shared = docs.sparkSession.sparkContext.broadcast(stats)
+    shared = spark.sparkContext.broadcast(stats)
 
-    def run(group: pa.Table) -> pa.Table:
+    def build(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids, shard = group["doc_id"].to_pylist(), group["shard"][0].as_py()
-        parts = list(split_words(as_array(group["text"]), 1 << 62))
-        rows = []
-        for _, ends, codes, words in parts:
-            scores = bm25_matrix(ends, codes, words, shared.value)
-            rows += [(shard, w, p, ids[k], first, n, s) for w, p, k, first, n, s in fill_windows(np.diff(ends), scores, window)]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-        columns = list(zip(*rows)) or [()] * 7
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+        stats = shared.value
+        ((_, ends, codes, words),) = split_words(as_array(group["text"]), 1 << 62)
+        row, code, tf = distinct_in_rows(ends, codes, len(words))
+        length = np.diff(ends)
+        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / max(stats.mean, 1e-9)))
+        at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(length)))))
+        values = (length.astype(np.int32), at, code.astype(np.int32), w.astype(np.float32), hash_words(words).view(np.int64), stats.weights(words).astype(np.float32))
+        return pa.Table.from_arrays([group["shard"][:1], pa.array([group["doc_id"].to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in values)], names=["shard", "ids", "lengths", "ends", "codes", "weights", "words", "idf"])
 
     placed = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long"))
-    return placed.groupBy("shard").applyInArrow(run, _SCHEMA)
+    index = checkpoint(placed.groupBy("shard").applyInArrow(build, "shard long, ids array<long>, lengths binary, ends binary, codes binary, weights binary, words binary, idf binary"))
+    corpus = _Corpus(index)
+    if not len(corpus.ids):
+        return spark.createDataFrame([], _SCHEMA)
+    return _packed(spark, corpus, fill_windows(corpus.words_in, lambda *x: _hits(index, corpus, *x), window))
+
+
+def _packed(spark: SparkSession, corpus: _Corpus, stretches) -> DataFrame:
+    """The table of the stretches, stored part by part; windows are numbered shard by shard."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+    numbers: dict[int, int] = {}
+    many: Counter = Counter()
+    parts: list[DataFrame] = []
+    while rows := list(islice(stretches, 1_000_000)):
+        out = []
+        for seed, window, position, d, first, n, score in rows:
+            shard = int(corpus.shard[seed])
+            if window not in numbers:
+                numbers[window] = many[shard]
+                many[shard] += 1
+            out.append((shard, numbers[window], position, None if corpus.null[d] else int(corpus.ids[d]), first, n, score))
+        made = pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+        parts.append(checkpoint(spark.createDataFrame(made, _SCHEMA)))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], _SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
