@@ -128,3 +128,23 @@ def test_odd_vectors(spark):
     assert pairs_of(E.near_vectors(df)) == {(2, 1), (11, 10)}
     assert E.drop_near_vectors(df).columns == df.columns and E.drop_near_vectors(df).count() == len(rows) - 3
     assert E.near_vectors(df.limit(0)).count() == 0
+
+
+def test_copies_of_copies_in_large_groups(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(300)]
+
+        def edited(words, n, mark):
+            out = list(words)
+            for k in rng.choice(len(words), n, replace=False):
+                out[k] = f"{mark}x{k}"
+            return out
+
+        copies = [base, *(edited(base, 6, f"g{g}c{k}") for k in range(29))]
+        own = [(g * 100 + k, " ".join(x)) for k, x in enumerate([*copies, edited(copies[29], 22, f"g{g}y")])]
+        rows += own
+        want |= brute_texts(own, M.THRESHOLD)
+    got = pairs_of(M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got <= want and len(want - got) <= 1 and sum(i % 100 == 30 for i, _ in want) > 30

@@ -17,7 +17,7 @@ M, B, A, TOP = 128, 1.001, 20.0, 65535
 BANDS, ROWS = 32, 4
 SHINGLE = 3
 THRESHOLD = 0.6
-#: Pairs whose estimate is this far under the threshold are still verified; so far over it, one edge is enough.
+#: Pairs whose estimate is this far under the threshold are still verified; so far over it, one edge is enough at first.
 SLACK = 0.12
 
 _GOLD, _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -111,14 +111,23 @@ def _sign(batches):
             )
 
 
-def _edges_of_bucket(ids: np.ndarray, k: np.ndarray, threshold: float):
+def _edges_of_bucket(ids: np.ndarray, k: np.ndarray, threshold: float, roots: np.ndarray | None = None):
     """Edges (id, smaller id) worth verifying among documents that share a band's registers.
 
-    Each document in turn, by id, is held against all later ones that no edge settles yet.
+    Without roots, each document in turn, by id, is held against all later ones that no edge settles yet. With the
+    roots of the groups that verified edges make, against all later ones of other groups.
     """
     order = np.argsort(ids, kind="stable")
     ids, k = ids[order], k[order]
     n = cardinality(k)
+    if roots is not None:
+        roots, out = roots[order], []
+        for lead in range(len(ids) - 1):
+            others = lead + 1 + np.flatnonzero(roots[lead + 1 :] != roots[lead])
+            for i in range(0, len(others), 8192):
+                part = others[i : i + 8192]
+                out += [(x, ids[lead]) for x in ids[part[estimate(k[lead], n[lead], k[part], n[part]) >= threshold - SLACK]]]
+        return out
     rest, out = np.arange(len(ids)), []
     while len(rest) > 1:
         lead, rest = rest[0], rest[1:]
@@ -135,24 +144,25 @@ def _edges_of_bucket(ids: np.ndarray, k: np.ndarray, threshold: float):
 
 def _bucket_edges(threshold: float):
     def run(batches):
-        """Whole buckets, one after another; a bucket may go on in the next batch."""
+        """Whole buckets, one after another; a bucket may go on in the next batch. Rows are (key, id, registers[, root])."""
         held: list = []
         current = None
 
         def close():
             got = {}
-            for i, r in held:
+            for i, *r in held:
                 got.setdefault(i, r)
-            k = np.frombuffer(b"".join(got.values()), np.uint16).reshape(len(got), -1)
-            return _edges_of_bucket(np.array(list(got)), k, threshold) if len(got) > 1 else []
+            k = np.frombuffer(b"".join(r[0] for r in got.values()), np.uint16).reshape(len(got), -1)
+            roots = np.array([r[1] for r in got.values()]) if len(held[0]) > 2 else None
+            return _edges_of_bucket(np.array(list(got)), k, threshold, roots) if len(got) > 1 else []
 
         out: list = []
         for batch in batches:
-            for key, i, r in zip(*(batch.column(x).to_pylist() for x in range(3))):
+            for key, *row in zip(*(x.to_pylist() for x in batch.columns)):
                 if key != current:
                     out += close() if held else []
                     held, current = [], key
-                held.append((i, r))
+                held.append(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["u", "v"])
                 out = []
@@ -201,7 +211,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fewer words one run). Two belong together if the sets' Jaccard coefficient is the threshold at least; groups
     are the connected components. Texts with the same words are one before anything is compared, so thousands of
     copies cost no more than one. Documents with the same registers in a band are held against each other by
-    estimate; every edge between them that counts is verified over the whole texts. Nothing is capped. At the
+    estimate; every edge between them that counts is verified over the whole texts. That is done twice: a document
+    with a safe edge to one of a band isn't held against the others there, until the groups of the verified edges
+    are known; then all pairs of a band that are in two groups are. Nothing is capped. At the
     default bands a pair at the threshold is found with probability 0.98.
 
     Ids are integers. Rows with a null id, a null text or no words are in no group. Rows that share an id are one
@@ -217,17 +229,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     width = 2 * ROWS
     bands = own.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.col("regs").substr(b * width + 1, F.lit(width))))).alias("key"))
     by_key = Window.partitionBy("key")
-    shared = bands.select("id", "key", F.min("id").over(by_key).alias("lo"), F.max("id").over(by_key).alias("hi")).filter("lo < hi").select("id", "key")
-    buckets = shared.join(own, "id").select("key", "id", "regs").repartition("key").sortWithinPartitions("key", "id")
-    found = checkpoint(buckets.mapInArrow(_bucket_edges(threshold), "u long, v long").distinct())
-
-    # only the texts that an edge names are moved
-    named = checkpoint(found.select(F.col("u").alias("id")).union(found.select("v")).distinct())
-    texts = docs.join(sized(named), "id", "left_semi")
-    held = found.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    near = held.filter(exact_jaccard("a", "b") >= threshold).select("u", "v")
-
-    return components(copies.union(near)).select("id", F.col("root").alias("kept"))
+    shared = checkpoint(bands.select("id", "key", F.min("id").over(by_key).alias("lo"), F.max("id").over(by_key).alias("hi")).filter("lo < hi").select("id", "key"))
+
+    def edges(members: DataFrame) -> DataFrame:
+        buckets = members.join(own, "id").select("key", "id", "regs", *members.columns[2:]).repartition("key").sortWithinPartitions("key", "id")
+        return buckets.mapInArrow(_bucket_edges(threshold), "u long, v long").distinct()
+
+    def verified(found: DataFrame) -> DataFrame:
+        # only the texts that an edge names are moved
+        named = checkpoint(found.select(F.col("u").alias("id")).union(found.select("v")).distinct())
+        texts = docs.join(sized(named), "id", "left_semi")
+        held = found.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+        return held.filter(exact_jaccard("a", "b") >= threshold).select("u", "v")
+
+    first = checkpoint(edges(shared))
+    groups = checkpoint(components(copies.union(verified(first))).select("id", "root"))
+    # a document that is near a settled one but not its lead, or was settled by an estimate too high, is in another group
+    rooted = shared.join(groups, "id", "left").select("id", "key", F.coalesce("root", "id").alias("root"))
+    mixed = rooted.withColumns({"lo": F.min("root").over(by_key), "hi": F.max("root").over(by_key)}).filter("lo < hi").select("id", "key", "root")
+    second = checkpoint(edges(mixed).join(first, ["u", "v"], "left_anti"))
+    if second.isEmpty():
+        return groups.select("id", F.col("root").alias("kept"))
+    return components(groups.select(F.col("id").alias("u"), F.col("root").alias("v")).union(verified(second))).select("id", F.col("root").alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
