@@ -1,5 +1,7 @@
 """Quality rules, language identification and toxicity against brute force and held-out rows."""
 
+import base64
+
 import numpy as np
 import pytest
 from helpers import DATA
@@ -132,6 +134,21 @@ def test_languages_of_odd_rows(spark):
     assert L.identify(df.limit(0), model).count() == 0
 
 
+def test_foreign_and_random_texts_are_rejected(spark):
+    docs = load(spark, "documents", MORE).select("doc_id", "text", "lang")
+    model = L.fit_language_model(docs)
+    rng = np.random.default_rng(1)
+    odd = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(60)) for _ in range(30)]
+    odd += [" ".join(base64.b64encode(rng.bytes(45)).decode() for _ in range(10)) for _ in range(30)]
+    odd += [
+        "Вчера вечером мы пошли в парк, где дети играли на качелях, а пожилые люди сидели на скамейках и говорили о погоде.",
+        "Wczoraj wieczorem poszliśmy do parku, gdzie dzieci bawiły się na huśtawkach, a starsi ludzie siedzieli na ławkach i rozmawiali o pogodzie.",
+    ]
+    out = L.identify(spark.createDataFrame([(x,) for x in odd], "text string"), model).select("language.*").collect()
+    assert not any(r.accepted for r in out) and out[60].cost == L.PENALTY
+    assert L.keep_identified(docs, model).count() >= 0.98 * docs.count()
+
+
 # --- toxicity
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_array, c, check_broadcast, fresh, split_words, table
+from .common import as_array, c, check_broadcast, checkpoint, fresh, split_words, table
 
 #: Labelled documents that a model is fitted on, at most; chosen by a hash of the id.
 MAX_TRAINING_ROWS = 8_000
@@ -18,21 +18,28 @@ MAX_TRAINING_ROWS = 8_000
 PENALTY = 7.0
 MAX_N = 4
 MIN_MARGIN = 0.002
+#: Share of the fitted documents' usual margin that a text needs.
+MARGIN_SHARE = 0.4
 _CACHED = 300_000
 
 
 def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of a word with a space at either end."""
+    """Character n-grams of a word with a space at either end; the space alone, which all words have, is none."""
     w = f" {word} "
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+    return [g for i in range(len(w) - n + 1) if (g := w[i : i + n]) != " "]
 
 
 @dataclass
 class LanguageModel:
-    """costs[n] holds the n-grams' costs by language (float32 vectors), costs[0] those of words."""
+    """costs[n] holds the n-grams' costs by language (float32 vectors), costs[0] those of words.
+
+    least_margin and most_cost are the bounds by language within which a text is accepted; None for no bounds.
+    """
 
     languages: list[str]
     costs: list[dict[str, np.ndarray]]
+    least_margin: np.ndarray | None = None
+    most_cost: np.ndarray | None = None
 
     def word_cost(self, word: str) -> np.ndarray:
         """Cost by language: the word's own, else the mean over those n-grams of the longest length that has any."""
@@ -84,10 +91,16 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The max_words and max_grams most frequent of each language (and length) make the model, so its size is bounded
     by the number of languages; of equal ones the first in code point order. Rows with a null id, language or text
     are left out. An empty table gives a model without languages, which rejects every document.
+
+    The bounds of acceptance come from the fitted documents that the model finds right: of each language, MARGIN_SHARE
+    of the margin that all but a twentieth have, and the cost that all but a hundredth keep, raised by half its
+    distance from the median. A language without such documents has no bounds.
     """
     usable = docs.select(c(id_col).alias("i"), c(lang_col).cast("string").alias("lang"), c(text_col).alias("text")).dropna()
     ids = usable.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(max_rows)
-    counted = usable.join(F.broadcast(ids), "i").select("lang", "text").mapInArrow(lambda batches: _count(batches, max_n), "lang string, n int, gram string, seen long")
+    # stored, else what is asked of the fitted documents later is worked out for all documents, before the join
+    fitted = checkpoint(usable.join(F.broadcast(ids), "i").select("lang", "text"))
+    counted = fitted.mapInArrow(lambda batches: _count(batches, max_n), "lang string, n int, gram string, seen long")
     total = counted.groupBy("lang", "n", "gram").agg(F.sum("seen").alias("seen"))
     by = Window.partitionBy("lang", "n")
     top = (
@@ -106,7 +119,16 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if gram not in at:
             at[gram] = np.full(len(languages), PENALTY, np.float32)
         at[gram][place[lang]] = v
-    return LanguageModel(languages, costs)
+    model = LanguageModel(languages, costs)
+    if not languages:
+        return model
+    found = checkpoint(identify(fitted, model, "text", "found").select("lang", "found")).filter("found.lang = lang")
+    bounds = found.groupBy("lang").agg(F.percentile("found.margin", 0.05).alias("margin"), F.percentile("found.cost", F.array(F.lit(0.5), F.lit(0.99))).alias("cost")).collect()
+    model = LanguageModel(languages, costs, np.zeros(len(languages)), np.full(len(languages), np.inf))
+    for r in bounds:
+        model.least_margin[place[r["lang"]]] = MARGIN_SHARE * r["margin"]
+        model.most_cost[place[r["lang"]]] = r["cost"][1] + (r["cost"][1] - r["cost"][0]) / 2 + 1e-6
+    return model
 
 
 def _score(model: LanguageModel, cache: dict[str, np.ndarray], text: pa.Array):
@@ -139,7 +161,8 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out_co
     Words are lower-cased, split at white space and freed of signs at their ends; those without a letter don't
     count. cost is the mean over all words of the whole text, lang the language with the least (of equal ones the
     first by name), margin its distance to the next (0 with one language only). Accepted is a text that has words
-    and a margin of min_margin at least (with one language: that has words). A null or wordless text has a null
+    and a margin of min_margin at least (with several languages), and that is within its language's bounds of the
+    model, so that random letters and languages that the model doesn't know are rejected. A null or wordless text has a null
     lang and isn't accepted. Other columns and the number of rows stay; a clashing name gets a number.
     """
     check_broadcast(model.size(), most, "language model")
@@ -156,6 +179,8 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out_co
             margin = low[:, 1] - low[:, 0] if len(m.languages) > 1 else np.zeros(len(mean))
             known, cost = count > 0, low[:, 0]
             ok = known & ((margin >= min_margin) | (len(m.languages) == 1))
+            if m.least_margin is not None:
+                ok &= (margin >= m.least_margin[best]) & (cost <= m.most_cost[best])
         else:
             best, margin, cost, known, ok = (np.zeros(len(mean), t) for t in (int, float, float, bool, bool))
         langs = pa.array([m.languages[k] if x else None for k, x in zip(best, known)], pa.string())
