@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,11 +35,13 @@ def fresh(taken, *bases: str) -> list[str]:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Sets the shared checkpoint folder that the session names; a local one only where none is named."""
+    """The shared checkpoint folder that the session names. Where it names none, a temporary one, in local mode only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             import tempfile
 
             named = tempfile.mkdtemp(prefix="textweir-checkpoint-")
@@ -46,9 +50,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read from there: lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared checkpoint folder, once, and read from there: lost executors cost nothing."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def normal_word(word: str) -> str:
