@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -22,7 +23,7 @@ SCALE = 64
 #: Seeds that are scored at once.
 BLOCK = 32
 _SCHEMA = "shard long, window int, position int, doc_id long, first_word int, n_words int, score double"
-_ENCODED = "key long, salt long, doc_id long, tie long, n_words int, codes binary, tf binary, rare array<long>, rare_tf binary"
+_ENCODED = "key long, key2 long, salt long, doc_id long, tie long, n_words int, codes binary, tf binary, rare array<long>, rare_tf binary"
 
 
 def _document_frequencies(batches):
@@ -91,10 +92,10 @@ def corpus_stats(texts: DataFrame, known: int = KNOWN) -> tuple[CorpusStats, Dat
     return CorpusStats(totals.get(1, 0), totals.get(2, 0), rows["word"].to_numpy(), rows["n"].to_numpy()), words.filter(F.col("n") < 2**level)
 
 
-def content_keys(row: np.ndarray, n_rows: int, hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def content_keys(row: np.ndarray, n_rows: int, hashes: np.ndarray, weights: np.ndarray, seed: int = 1) -> np.ndarray:
     """A word's hash for each row, by weighted min-wise sampling: two rows have the same one with a chance of what
     they share, by weight, of all they have together. Entries are sorted by row; every row has one."""
-    u = (mix(hashes.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    u = (mix(hashes.view(np.uint64) ^ np.uint64(seed * 0x5851F42D4C957F2D % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
     cost = -np.log1p(-u) / weights
     order = np.lexsort((hashes, cost, row))
     first = np.searchsorted(row[order], np.arange(n_rows))
@@ -122,7 +123,7 @@ def _encoder(shared):
                 # words of one document alone aren't asked, unless a document has no other
                 alone = np.bincount(row[inside], minlength=len(full)) == 0
                 weight = np.where(inside, known[np.maximum(place, 0)] if len(known) else 1.0, np.where(alone[row], 1.0, 1e-12))
-                key = content_keys(row, len(full), hashes, weight)
+                keys = [content_keys(row, len(full), hashes, weight, seed) for seed in (1, 2)]
                 cuts, outer = (np.concatenate(([0], np.cumsum(np.bincount(row[x], minlength=len(full))))) for x in (inside, ~inside))
                 codes32, tf32, rare_tf = place[inside].astype(np.int32), tf[inside].astype(np.int32), tf[~inside].astype(np.int32)
                 tie = np.zeros(len(full), np.int64)
@@ -130,7 +131,7 @@ def _encoder(shared):
                 salt = mix((at + first + full).astype(np.uint64)).view(np.int64)
                 own = batch.column(0).slice(first, len(length)).take(pa.array(full)) if ids is None else pa.array(ids[first + full], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(salt), own, pa.array(tie), pa.array(length[full].astype(np.int32))]
+                    [*map(pa.array, keys), pa.array(salt), own, pa.array(tie), pa.array(length[full].astype(np.int32))]
                     + [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (codes32, tf32)]
                     + [pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), pa.array(hashes[~inside]))]
                     + [pa.array([rare_tf[i:j].tobytes() for i, j in zip(outer[:-1], outer[1:])], pa.binary())],
@@ -150,8 +151,8 @@ class Postings:
 
     def __init__(self, live: np.ndarray, cuts: np.ndarray, codes: np.ndarray, values: np.ndarray, n_words: int):
         many = np.diff(cuts)[live]
-        inside = np.repeat(cuts[live] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
-        row, code, value = np.repeat(np.arange(len(live)), many), codes[inside], values[inside]
+        inside = np.repeat((cuts[live] - np.cumsum(many) + many).astype(np.int32), many) + np.arange(int(many.sum()), dtype=np.int32)
+        row, code, value = np.repeat(np.arange(len(live), dtype=np.int32), many), codes[inside], values[inside]
         self.live, self.cuts, self.codes = live, cuts, codes
         self.own = np.bincount(code, minlength=n_words)
         self.frequent = self.own > max(len(live) / 64, 1)
@@ -161,7 +162,7 @@ class Postings:
         self.x[row[dense], self.place[code[dense]]] = value[dense]
         row, code, value = row[~dense], code[~dense], value[~dense]
         order = np.argsort(code, kind="stable")
-        self.row, self.value = row[order], value[order].astype(np.float64)
+        self.row, self.value = row[order], value[order]
         self.start = np.searchsorted(code[order], np.arange(n_words))
 
     def scores(self, seeds: np.ndarray) -> np.ndarray:
@@ -232,6 +233,13 @@ def fill_windows(lengths: np.ndarray, cuts: np.ndarray, codes: np.ndarray, value
                 position += 1
 
 
+def _numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all, how many in each) 32-bit numbers that the entries of a binary column hold."""
+    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
+    held = np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]] if lists.buffers()[2] else np.empty(0, np.uint8)
+    return np.frombuffer(held.tobytes(), np.int32), np.diff(ends) // 4
+
+
 def _filler(shared, window: int):
     def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
         stats = shared.value
@@ -239,30 +247,30 @@ def _filler(shared, window: int):
         names = [x.split()[0] for x in _SCHEMA.split(", ")]
         if not docs.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        docs = docs.sort_by([("doc_id", "ascending"), ("tie", "ascending")]).combine_chunks()
+        docs = docs.take(pc.sort_indices(docs.select(["doc_id", "tie"]), sort_keys=[("doc_id", "ascending"), ("tie", "ascending")]))
         shard, ids, lengths = docs["shard"][0].as_py(), docs["doc_id"].to_pylist(), docs["n_words"].to_numpy().astype(np.int64)
-        code, tf, outer_tf = (np.frombuffer(b"".join(docs[x].to_pylist()), np.int32).astype(np.int64) for x in ("codes", "tf", "rare_tf"))
-        many = np.array([len(x) // 4 for x in docs["codes"].to_pylist()], np.int64)
+        (code, many), (tf, _), (outer_tf, _) = (_numbers(as_array(docs[x])) for x in ("codes", "tf", "rare_tf"))
         lists = as_array(docs["rare"])
-        outer = lists.flatten().to_numpy(zero_copy_only=False)
-        row = np.concatenate((np.repeat(np.arange(len(ids)), many), np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))))
+        outer, outer_many = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+        del docs, lists
         # words that the shard has twice and that aren't known come with their counts
         order = np.argsort(rare["word"].to_numpy())
         word, n = rare["word"].to_numpy()[order], rare["n"].to_numpy()[order]
-        at = np.minimum(np.searchsorted(word, outer), max(len(word) - 1, 0))
+        at = np.minimum(np.searchsorted(word, outer), max(len(word) - 1, 0)).astype(np.int32)
         met = word[at] == outer if len(word) else np.zeros(len(outer), bool)
-        code = np.concatenate((code, np.where(met, len(stats.keys) + at, -1)))
         count = np.concatenate((stats.counts, n))
-        tf = np.concatenate((tf, outer_tf))
-        keep = code >= 0
-        row, code, tf = row[keep], code[keep], tf[keep]
-        value = stats.parts(count[code], tf, lengths[row])
-        _, code, own = np.unique(code, return_inverse=True, return_counts=True)
-        keep = own[code] > 1  # a word of one document finds nothing
-        row, code, value = row[keep], code[keep], value[keep].astype(np.float32)
+        own = np.bincount(code, minlength=len(count)) + np.bincount(at[met] + len(stats.keys), minlength=len(count))
+        place = (np.cumsum(own > 1) - 1).astype(np.int32)
+        found = []
+        for row, c, t in ((np.repeat(np.arange(len(ids), dtype=np.int32), many), code, tf), (np.repeat(np.arange(len(ids), dtype=np.int32), outer_many)[met], at[met] + np.int32(len(stats.keys)), outer_tf[met])):
+            keep = own[c] > 1  # a word of one document finds nothing
+            row, c, t = row[keep], c[keep], t[keep]
+            found.append((row, place[c], stats.parts(count[c], t, lengths[row]).astype(np.float32)))
+        row, code, value = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(row, kind="stable")
-        cuts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids)))))
-        rows = [(shard, w, p, ids[k], first, n, s) for w, p, k, first, n, s in fill_windows(lengths, cuts, code[order], value[order], len(own), window)]
+        code, value, cuts = code[order], value[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids)))))
+        del row, order, found, tf, outer
+        rows = [(shard, w, p, ids[k], first, n, s) for w, p, k, first, n, s in fill_windows(lengths, cuts, code, value, int((own > 1).sum()), window)]
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -273,8 +281,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
 
     The inverted index lies in shards of about shard_docs documents. A document's shard is that of one of its words,
     drawn by weighted min-wise sampling: documents that share much of their telling words, as copies do, meet in a
-    shard however large the corpus is, and work grows with the corpus and not with its square. Words that more than
-    an eighth of a shard is drawn to have several shards. Within the shard every unused document is a candidate, all
+    shard however large the corpus is, and work grows with the corpus and not with its square. Of a word that draws
+    more than a 32nd of a shard, a second drawing decides, and beyond that chance. Within the shard every unused document is a candidate, all
     words count and scores are exact; documents of other shards aren't candidates. Words' counts are those of all
     documents. Words are lower-cased, split at white space and freed of signs at their ends; a seed asks with its
     distinct words, each of which adds its BM25 part in whole 64ths, 1 at least.
@@ -289,12 +297,15 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     stats, others = corpus_stats(docs.select("text"), known)
     if not stats.docs:
         return spark.createDataFrame([], _SCHEMA)
-    shards, most = max(1, math.ceil(stats.docs / shard_docs)), max(1, shard_docs // 8)
+    shards, most = max(1, math.ceil(stats.docs / shard_docs)), max(1, shard_docs // 32)
     shared = spark.sparkContext.broadcast(stats)
     encoded = checkpoint(docs.mapInArrow(_encoder(shared), _ENCODED))
-    hot = checkpoint(encoded.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most).select("key", F.ceil(F.col("many") / most).alias("parts")))
-    part = F.coalesce(F.pmod("salt", "parts"), F.lit(0))
-    placed = encoded.join(sized(hot), "key", "left").withColumn("shard", F.pmod(F.xxhash64("key", part), F.lit(shards)).cast("long")).drop("key", "salt", "parts")
+    hot = checkpoint(encoded.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most).select("key", F.lit(True).alias("hot")))
+    both = encoded.groupBy("key", "key2").agg(F.count("*").alias("many")).filter(F.col("many") > most)
+    hotter = checkpoint(both.select("key", "key2", F.ceil(F.col("many") / most).alias("parts")))
+    place = F.xxhash64("key", F.when(F.col("hot"), F.col("key2")), F.coalesce(F.pmod("salt", "parts"), F.lit(0)))
+    placed = encoded.join(sized(hot), "key", "left").join(sized(hotter), ["key", "key2"], "left")
+    placed = placed.withColumn("shard", F.pmod(place, F.lit(shards)).cast("long")).drop("key", "key2", "salt", "hot", "parts")
     met = placed.select(F.col("shard").alias("shard"), F.explode("rare").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("many")).filter("many > 1")
     rare = met.join(others, "word").select(F.col("shard").alias("its"), "word", "n")
     return placed.groupBy("shard").cogroup(rare.groupBy("its")).applyInArrow(_filler(shared, window), _SCHEMA)
