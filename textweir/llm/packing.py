@@ -297,7 +297,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     stats, others = corpus_stats(docs.select("text"), known)
     if not stats.docs:
         return spark.createDataFrame([], _SCHEMA)
-    shards, most = max(1, math.ceil(stats.docs / shard_docs)), max(1, shard_docs // 32)
+    shards, most = max(1, math.ceil(stats.docs / shard_docs)), max(8, shard_docs // 32)
     shared = spark.sparkContext.broadcast(stats)
     encoded = checkpoint(docs.mapInArrow(_encoder(shared), _ENCODED))
     hot = checkpoint(encoded.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most).select("key", F.lit(True).alias("hot")))
