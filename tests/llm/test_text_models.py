@@ -94,8 +94,11 @@ def test_backoff_by_brute_force(spark):
     model = L.fit_language_model(docs, max_words=200, max_grams=300)
     out = L.identify(docs, model).select("doc_id", "text", "language.*").collect()
 
+    tables = [{g: model.costs[at] for g, at in own.items()} for own in model.rows]
+
     def cost(word, k):
-        for n, table in ((0, model.costs[0]), *((n, model.costs[n]) for n in (4, 3, 2, 1))):
+        for n in (0, 4, 3, 2, 1):
+            table = tables[n]
             keys = [word] if n == 0 else [f" {word} "[i : i + n] for i in range(len(word) + 3 - n)]
             found = [table[g][k] for g in keys if g in table]
             if found:

@@ -20,7 +20,8 @@ MAX_N = 4
 MIN_MARGIN = 0.002
 #: Share of the fitted documents' usual margin that a text needs.
 MARGIN_SHARE = 0.4
-_CACHED = 300_000
+#: Words whose costs a task remembers, at most; 16 bytes and the word each. Others are worked out again.
+_CACHED = 200_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -31,29 +32,42 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """costs[n] holds the n-grams' costs by language (float32 vectors), costs[0] those of words.
+    """rows[n] holds the numbers of the n-grams, rows[0] those of words; costs is their table (float32), by number and language.
 
     least_margin and most_cost are the bounds by language within which a text is accepted; None for no bounds.
     """
 
     languages: list[str]
-    costs: list[dict[str, np.ndarray]]
+    rows: list[dict[str, int]]
+    costs: np.ndarray
     least_margin: np.ndarray | None = None
     most_cost: np.ndarray | None = None
 
-    def word_cost(self, word: str) -> np.ndarray:
-        """Cost by language: the word's own, else the mean over those n-grams of the longest length that has any."""
-        known = self.costs[0].get(word)
+    def rows_of(self, word: str) -> list[int]:
+        """Numbers of what a word's cost is the mean of: the word itself, else those n-grams of the longest length that has any."""
+        known = self.rows[0].get(word)
         if known is not None:
-            return known
-        for n in range(len(self.costs) - 1, 0, -1):
-            found = [x for g in grams(word, n) if (x := self.costs[n].get(g)) is not None]
-            if found:
-                return sum(found) / np.float32(len(found))
-        return np.full(len(self.languages), PENALTY, np.float32)
+            return [known]
+        for n in range(len(self.rows) - 1, 0, -1):
+            own = self.rows[n]
+            if found := [x for g in grams(word, n) if (x := own.get(g)) is not None]:
+                return found
+        return []
+
+    def word_costs(self, words: list[str]) -> np.ndarray:
+        """(words, languages) costs; PENALTY where nothing is known."""
+        found = [self.rows_of(w) for w in words]
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((x for own in found for x in own), np.int64, int(many.sum()))
+        out = np.full((len(words), len(self.languages)), PENALTY, np.float32)
+        some = many > 0
+        if len(flat):
+            sums = np.add.reduceat(self.costs[flat], (np.cumsum(many) - many)[some], axis=0, dtype=np.float64)
+            out[some] = sums / many[some, None]
+        return out
 
     def size(self) -> int:
-        return sum(map(len, self.costs))
+        return len(self.costs)
 
 
 def has_letter(word: str) -> bool:
@@ -112,41 +126,58 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     languages = sorted(top["lang"].unique()) if len(top) else []
     place = {x: k for k, x in enumerate(languages)}
-    costs: list[dict[str, np.ndarray]] = [{} for _ in range(max_n + 1)]
-    value = -np.log10(top["seen"].to_numpy(float) / top["of"].to_numpy(float)) if len(top) else []
-    for lang, n, gram, v in zip(top["lang"], top["n"], top["gram"], value):
-        at = costs[n]
-        if gram not in at:
-            at[gram] = np.full(len(languages), PENALTY, np.float32)
-        at[gram][place[lang]] = v
-    model = LanguageModel(languages, costs)
+    numbers: list[dict[str, int]] = [{} for _ in range(max_n + 1)]
+    total = 0
+    for n, gram in zip(top["n"], top["gram"]):
+        if gram not in numbers[n]:
+            numbers[n][gram] = total
+            total += 1
+    costs = np.full((total, len(languages)), PENALTY, np.float32)
+    if total:
+        at = np.fromiter((numbers[n][gram] for n, gram in zip(top["n"], top["gram"])), np.int64, len(top))
+        costs[at, [place[x] for x in top["lang"]]] = -np.log10(top["seen"].to_numpy(float) / top["of"].to_numpy(float))
+    model = LanguageModel(languages, numbers, costs)
     if not languages:
         return model
     found = checkpoint(identify(fitted, model, "text", "found").select("lang", "found")).filter("found.lang = lang")
     bounds = found.groupBy("lang").agg(F.percentile("found.margin", 0.05).alias("margin"), F.percentile("found.cost", F.array(F.lit(0.5), F.lit(0.99))).alias("cost")).collect()
-    model = LanguageModel(languages, costs, np.zeros(len(languages)), np.full(len(languages), np.inf))
+    model = LanguageModel(languages, numbers, costs, np.zeros(len(languages)), np.full(len(languages), np.inf))
     for r in bounds:
         model.least_margin[place[r["lang"]]] = MARGIN_SHARE * r["margin"]
         model.most_cost[place[r["lang"]]] = r["cost"][1] + (r["cost"][1] - r["cost"][0]) / 2 + 1e-6
     return model
 
 
-def _score(model: LanguageModel, cache: dict[str, np.ndarray], text: pa.Array):
+class _Costs:
+    """Costs of words met before, in one table."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.place = model, {}
+        self.table = np.zeros((1024, len(model.languages)), np.float32)
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(costs by word and language, which words have a letter); a word without one costs nothing."""
+        if len(self.place) > _CACHED:
+            self.place.clear()
+        new = [w for w in words if w not in self.place]
+        lettered = [w for w in new if has_letter(w)]
+        need, first = len(self.place) + len(new) + 1, len(self.place) + 1
+        if need > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)))
+        # places from 1 on; 0 is a word without letters
+        self.place.update(zip(lettered, range(first, first + len(lettered))))
+        self.table[first : first + len(lettered)] = self.model.word_costs(lettered)
+        self.place.update((w, 0) for w in new if w not in self.place)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        return self.table[at], at > 0
+
+
+def _score(costs: _Costs, text: pa.Array):
     """Mean cost of each text's words by language, and how many words with a letter it has."""
-    n_langs = len(model.languages)
+    n_langs = len(costs.model.languages)
     mean, count = np.zeros((len(text), n_langs)), np.zeros(len(text), np.int64)
     for first, ends, codes, words in split_words(text):
-        words = words.to_pylist()
-        cost, letters = np.zeros((len(words), n_langs), np.float32), np.zeros(len(words), bool)
-        for k, w in enumerate(words):
-            x = cache.get(w)
-            if x is None:
-                x = model.word_cost(w) if has_letter(w) else False
-                if len(cache) >= _CACHED:
-                    cache.clear()
-                cache[w] = x
-            if x is not False:
-                cost[k], letters[k] = x, True
+        cost, letters = costs.of(words.to_pylist())
         sums = np.concatenate((np.zeros((1, n_langs)), np.cumsum(cost[codes], axis=0, dtype=np.float64)))
         many = np.concatenate(([0], np.cumsum(letters[codes])))
         own = slice(first, first + len(ends) - 1)
@@ -167,12 +198,14 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out_co
     """
     check_broadcast(model.size(), most, "language model")
     shared = df.sparkSession.sparkContext.broadcast(model)
-    caches: dict[int, dict] = {}
+    held: list[_Costs] = []
 
     @F.arrow_udf("struct<lang string, cost double, margin double, accepted boolean>")
     def judge(text: pa.Array) -> pa.Array:
         m = shared.value
-        mean, count = _score(m, caches.setdefault(0, {}), as_array(text))
+        if not held:
+            held.append(_Costs(m))
+        mean, count = _score(held[0], as_array(text))
         if m.languages:
             best = mean.argmin(axis=1)
             low = np.sort(mean, axis=1)

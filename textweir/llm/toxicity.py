@@ -111,7 +111,8 @@ def train(cols: list, deltas: list, y: np.ndarray, d: int, strength: float = 1.0
 
 
 def _as_model(kept: dict[str, int], w: np.ndarray, b: float, threshold: float) -> ToxicityModel:
-    return ToxicityModel({f: float(w[k]) for f, k in kept.items() if abs(w[k]) > 1e-6}, b, threshold)
+    weights = {f: float(w[k]) for f, k in kept.items() if abs(w[k]) > 1e-6}
+    return ToxicityModel(weights, b, threshold) if weights else ToxicityModel({}, -30.0)
 
 
 def contrast(in1, in0, n1: float, n0: float, sqrt=np.sqrt, absolute=np.abs):
@@ -124,7 +125,7 @@ def fit_classifier(texts: list[set[str]], toxic: np.ndarray, terms=IDENTITY_TERM
     """train() over sets of words that are at hand.
 
     Features are the max_features words and word beginnings, of those in min_seen texts, whose shares differ most
-    between the classes, and all identity terms seen. Without both classes nothing is toxic.
+    between the classes, and all identity terms seen. Without both classes, or without a feature, nothing is toxic.
     """
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
