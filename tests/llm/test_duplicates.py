@@ -148,3 +148,21 @@ def test_copies_of_copies_in_large_groups(spark):
         want |= brute_texts(own, M.THRESHOLD)
     got = pairs_of(M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
     assert got <= want and len(want - got) <= 1 and sum(i % 100 == 30 for i, _ in want) > 30
+
+
+def test_chains_behind_many_leads(spark):
+    """y is near x alone, and x is near eight leads that come before either."""
+    rows, want = [], set()
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(300)]
+        x = [f"g{g}x{k}" if k in (40, 90, 140, 190) else w for k, w in enumerate(base)]
+        y = [f"g{g}y{k}" if k % 13 == 5 else w for k, w in enumerate(x)]
+        leads = [[f"g{g}l{n}" if k == 299 - n else w for k, w in enumerate(base)] for n in range(8)]
+        own = [(g * 100 + k, " ".join(t)) for k, t in enumerate([*leads, x, y])]
+        rows += own
+        want |= brute_texts(own, M.THRESHOLD)
+    assert sum(i % 100 == 9 for i, _ in want) == 60
+    sets = [shingle_set(t) for _, t in rows[:10]]
+    assert all(len(sets[k] & sets[9]) < M.THRESHOLD * len(sets[k] | sets[9]) for k in range(8))
+    got = pairs_of(M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got <= want and len(want - got) <= 1

@@ -112,7 +112,7 @@ def _sign(batches):
 
 
 def _edges_of_bucket(ids: np.ndarray, k: np.ndarray, threshold: float, roots: np.ndarray | None = None):
-    """Edges (id, smaller id) worth verifying among documents that share a band's registers.
+    """Edges (id, smaller id), as two arrays, worth verifying among documents that share a band's registers.
 
     Without roots, each document in turn, by id, is held against all later ones that no edge settles yet. With the
     roots of the groups that verified edges make, against all later ones of other groups.
@@ -120,55 +120,64 @@ def _edges_of_bucket(ids: np.ndarray, k: np.ndarray, threshold: float, roots: np
     order = np.argsort(ids, kind="stable")
     ids, k = ids[order], k[order]
     n = cardinality(k)
+    us, vs = [], []
+
+    def near(lead: int, others: np.ndarray) -> np.ndarray:
+        j = np.concatenate([estimate(k[lead], n[lead], k[others[i : i + 8192]], n[others[i : i + 8192]]) for i in range(0, len(others), 8192)] or [np.empty(0)])
+        found = others[j >= threshold - SLACK]
+        us.append(ids[found])
+        vs.append(np.full(len(found), ids[lead]))
+        return j
+
     if roots is not None:
-        roots, out = roots[order], []
+        roots = roots[order]
         for lead in range(len(ids) - 1):
-            others = lead + 1 + np.flatnonzero(roots[lead + 1 :] != roots[lead])
-            for i in range(0, len(others), 8192):
-                part = others[i : i + 8192]
-                out += [(x, ids[lead]) for x in ids[part[estimate(k[lead], n[lead], k[part], n[part]) >= threshold - SLACK]]]
-        return out
-    rest, out = np.arange(len(ids)), []
-    while len(rest) > 1:
-        lead, rest = rest[0], rest[1:]
-        settled = np.zeros(len(rest), bool)
-        for i in range(0, len(rest), 8192):
-            part = rest[i : i + 8192]
-            j = estimate(k[lead], n[lead], k[part], n[part])
-            for x in part[j >= threshold - SLACK]:
-                out.append((ids[x], ids[lead]))
-            settled[i : i + 8192] = j >= threshold + SLACK
-        rest = rest[~settled]
-    return out
+            near(lead, lead + 1 + np.flatnonzero(roots[lead + 1 :] != roots[lead]))
+    else:
+        rest = np.arange(len(ids))
+        while len(rest) > 1:
+            lead, rest = rest[0], rest[1:]
+            rest = rest[near(lead, rest) < threshold + SLACK]
+    empty = np.empty(0, np.int64)
+    return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
 
 
 def _bucket_edges(threshold: float):
     def run(batches):
         """Whole buckets, one after another; a bucket may go on in the next batch. Rows are (key, id, registers[, root])."""
-        held: list = []
-        current = None
-
-        def close():
-            got = {}
-            for i, *r in held:
-                got.setdefault(i, r)
-            k = np.frombuffer(b"".join(r[0] for r in got.values()), np.uint16).reshape(len(got), -1)
-            roots = np.array([r[1] for r in got.values()]) if len(held[0]) > 2 else None
-            return _edges_of_bucket(np.array(list(got)), k, threshold, roots) if len(got) > 1 else []
-
-        out: list = []
+        held: list[tuple] = []
+
+        def edges(last: bool):
+            """Those of all buckets held but, unless last, the last, which may go on."""
+            key, ids, *root = (np.concatenate(x) for x in zip(*((h[0], h[1], *h[3:]) for h in held)))
+            k = np.concatenate([h[2] for h in held])
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            us, vs = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b == len(key) and not last:
+                    break
+                own = a + np.unique(ids[a:b], return_index=True)[1]
+                if len(own) > 1:
+                    u, v = _edges_of_bucket(ids[own], k[own], threshold, root[0][own] if root else None)
+                    us.append(u)
+                    vs.append(v)
+            a = len(key) if last else cuts[-2]
+            held[:] = [(key[a:], ids[a:], k[a:], *(r[a:] for r in root))] if a < len(key) else []
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in (us, vs)], names=["u", "v"])
+
+        rows = 0
         for batch in batches:
-            for key, *row in zip(*(x.to_pylist() for x in batch.columns)):
-                if key != current:
-                    out += close() if held else []
-                    held, current = [], key
-                held.append(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["u", "v"])
-                out = []
-        out = close() if held else []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], names=["u", "v"])
+            if not len(batch):
+                continue
+            key, ids, *root = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(batch.num_columns) if x != 2)
+            held.append((key, ids, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(len(batch), -1), *root))
+            rows += len(batch)
+            # a bucket that goes on is looked at again only once as many rows have come as are held
+            if rows >= 20_000 and held[0][0][0] != key[-1]:
+                yield edges(False)
+                rows = sum(len(h[0]) for h in held) // 2
+        if held:
+            yield edges(True)
 
     return run
 
