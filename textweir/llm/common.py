@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -56,6 +57,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets no more rows of whole texts than this go to Python at once, where the session has Spark's default of 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def release_memory() -> None:
+    """Gives memory that a worker no longer uses back to the system, as the worker stays for the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def normal_word(word: str) -> str:
     """The form in which words are compared: lower case, without signs at its ends; may be empty."""
     return word.lower().strip(EDGE)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_array, c, check_broadcast, checkpoint, fresh, split_words, table
+from .common import as_array, c, check_broadcast, checkpoint, fresh, release_memory, split_words, table, text_batches
 
 #: Labelled documents that a model is fitted on, at most; chosen by a hash of the id.
 MAX_TRAINING_ROWS = 8_000
@@ -97,6 +97,8 @@ def _count(batches, max_n: int):
             [pa.array([lang] * len(counts)), pa.array([n] * len(counts), pa.int32()), pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())],
             names=["lang", "n", "gram", "seen"],
         )
+    del seen
+    release_memory()
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAINING_ROWS, max_words: int = 20_000, max_grams: int = 10_000, max_n: int = MAX_N) -> LanguageModel:
@@ -110,6 +112,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of the margin that all but a twentieth have, and the cost that all but a hundredth keep, raised by half its
     distance from the median. A language without such documents has no bounds.
     """
+    text_batches(docs.sparkSession)
     usable = docs.select(c(id_col).alias("i"), c(lang_col).cast("string").alias("lang"), c(text_col).alias("text")).dropna()
     ids = usable.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(max_rows)
     # stored, else what is asked of the fitted documents later is worked out for all documents, before the join
@@ -183,6 +186,7 @@ def _score(costs: _Costs, text: pa.Array):
         own = slice(first, first + len(ends) - 1)
         count[own] = np.diff(many[ends])
         mean[own] = (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(count[own], 1)[:, None]
+    release_memory()
     return mean, count
 
 
@@ -197,6 +201,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", out_co
     lang and isn't accepted. Other columns and the number of rows stay; a clashing name gets a number.
     """
     check_broadcast(model.size(), most, "language model")
+    text_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     held: list[_Costs] = []
 

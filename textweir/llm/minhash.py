@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import CHUNK, as_array, c, checkpoint, fresh, hash_words, mix, sized, slices, split_words, table
+from .common import CHUNK, as_array, c, checkpoint, fresh, hash_words, mix, release_memory, sized, slices, split_words, table, text_batches
 from .components import components
 
 #: Registers, their base, rate and largest value (16 bits), as in the two-byte sketch of the paper by Ertl.
@@ -109,6 +109,7 @@ def _sign(batches):
                 [ids.slice(first, n).take(pa.array(full)), pa.array(keys[0][full]), pa.array(keys[1][full]), pa.array([r.tobytes() for r in k[full]], pa.binary())],
                 names=["id", "k1", "k2", "regs"],
             )
+    release_memory()
 
 
 def _edges_of_bucket(ids: np.ndarray, k: np.ndarray, threshold: float, roots: np.ndarray | None = None):
@@ -178,6 +179,7 @@ def _bucket_edges(threshold: float):
                 rows = sum(len(h[0]) for h in held) // 2
         if held:
             yield edges(True)
+        release_memory()
 
     return run
 
@@ -210,7 +212,9 @@ def _jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 @F.arrow_udf(DoubleType())
 def exact_jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array(_jaccard(as_array(a), as_array(b)))
+    out = pa.array(_jaccard(as_array(a), as_array(b)))
+    release_memory()
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -228,6 +232,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Ids are integers. Rows with a null id, a null text or no words are in no group. Rows that share an id are one
     document, whose texts all count. An empty table gives no rows. Extra columns are ignored.
     """
+    text_batches(df.sparkSession)
     docs = df.select(c(id_col).cast("long").alias("id"), c(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     signed = docs.mapInArrow(_sign, "id long, k1 long, k2 long, regs binary")
     least = F.min("id").over(Window.partitionBy("k1", "k2"))

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .common import as_array, c, check_broadcast, checkpoint, distinct_in_rows, hash_words, mix, sized, split_words, table
+from .common import as_array, c, check_broadcast, checkpoint, distinct_in_rows, hash_words, mix, release_memory, sized, split_words, table, text_batches
 
 WINDOW = 2048
-SHARD_DOCS = 8192
+SHARD_DOCS = 4096
 K1, B = 1.2, 0.75
 #: Words whose counts are broadcast, at most: the most frequent ones. Counts of the others are joined.
 KNOWN = 1_000_000
@@ -27,30 +27,39 @@ _ENCODED = "key long, key2 long, salt long, doc_id long, tie long, n_words int,
 
 
 def _document_frequencies(batches):
-    """(kind, key, n) of the partition: words' document counts (0), documents with words (1), words (2)."""
+    """(kind, key, n) of the partition: words' document counts (0), documents with words (1), words (2).
+
+    Counts are given in parts of about a million words, so that a task's memory doesn't grow with its input.
+    """
     held, seen, docs, total = [], 0, 0, 0
 
+    def rows(kind, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
+
     def joined():
         keys = np.concatenate([k for k, _ in held])
         order = np.argsort(keys)
         keys, counts = keys[order], np.concatenate([n for _, n in held])[order]
         cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[cut], np.add.reduceat(counts, cut)
+        held.clear()
+        return rows(0, keys[cut], np.add.reduceat(counts, cut, dtype=np.int64))
 
     for batch in batches:
         for _, ends, codes, words in split_words(as_array(batch.column(0))):
             if not len(codes):
                 continue
             _, code, _ = distinct_in_rows(ends, codes, len(words))
-            held.append((hash_words(words).view(np.int64), np.bincount(code, minlength=len(words)).astype(np.int64)))
+            held.append((hash_words(words).view(np.int64), np.bincount(code, minlength=len(words)).astype(np.int32)))
             seen += len(words)
             docs, total = docs + int((np.diff(ends) > 0).sum()), total + len(codes)
-            if seen > 4_000_000:
-                held = [joined()]
-                seen = len(held[0][0])
-    keys, counts = joined() if held else (np.empty(0, np.int64), np.empty(0, np.int64))
-    kinds = np.concatenate((np.zeros(len(keys), np.int8), [1, 2])).astype(np.int8)
-    yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.concatenate((keys, [0, 0])).astype(np.int64)), pa.array(np.concatenate((counts, [docs, total])).astype(np.int64))], names=["kind", "key", "n"])
+            if seen > 1_000_000:
+                yield joined()
+                seen = 0
+    if held:
+        yield joined()
+    yield rows(1, np.zeros(1, np.int64), np.array([docs], np.int64))
+    yield rows(2, np.zeros(1, np.int64), np.array([total], np.int64))
+    release_memory()
 
 
 def idf(docs: int, n: np.ndarray) -> np.ndarray:
@@ -138,6 +147,7 @@ def _encoder(shared):
                     names=[x.split()[0] for x in _ENCODED.split(", ")],
                 )
             at += len(batch)
+        release_memory()
 
     return run
 
@@ -260,7 +270,7 @@ def _filler(shared, window: int):
         met = word[at] == outer if len(word) else np.zeros(len(outer), bool)
         count = np.concatenate((stats.counts, n))
         own = np.bincount(code, minlength=len(count)) + np.bincount(at[met] + len(stats.keys), minlength=len(count))
-        place = (np.cumsum(own > 1) - 1).astype(np.int32)
+        place, n_words = (np.cumsum(own > 1) - 1).astype(np.int32), int((own > 1).sum())
         found = []
         for row, c, t in ((np.repeat(np.arange(len(ids), dtype=np.int32), many), code, tf), (np.repeat(np.arange(len(ids), dtype=np.int32), outer_many)[met], at[met] + np.int32(len(stats.keys)), outer_tf[met])):
             keep = own[c] > 1  # a word of one document finds nothing
@@ -270,7 +280,10 @@ def _filler(shared, window: int):
         order = np.argsort(row, kind="stable")
         code, value, cuts = code[order], value[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids)))))
         del row, order, found, tf, outer
-        rows = [(shard, w, p, ids[k], first, n, s) for w, p, k, first, n, s in fill_windows(lengths, cuts, code, value, int((own > 1).sum()), window)]
+        del own, place, outer_tf, rare
+        rows = [(shard, w, p, ids[k], first, n, s) for w, p, k, first, n, s in fill_windows(lengths, cuts, code, value, n_words, window)]
+        del code, value
+        release_memory()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return run
@@ -293,6 +306,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     are ignored. The table is read twice and must give the same rows each time, as stored tables do.
     """
     spark = df.sparkSession
+    text_batches(spark)
     docs = df.select(c(id_col).cast("long").alias("doc_id"), c(text_col).alias("text")).filter("text IS NOT NULL")
     stats, others = corpus_stats(docs.select("text"), known)
     if not stats.docs:
