@@ -56,7 +56,10 @@ class Windows:
         first = self.start_n + self.left(i)
         behind = first + self.inside - self.left(i) - self.behind
         width = self.start_n + self.length(i) + self.end_n
-        return F.transform(F.sequence(F.lit(0), width + self.padding(i) - 1), lambda j: ((j >= first) & (j < behind) & (j < width)).cast("int"))
+        first = F.least(first, width)
+        behind = F.greatest(F.least(behind, width), first)
+        some = lambda v, n: F.array_repeat(F.lit(v), n.cast("int"))
+        return F.concat(some(0, first), some(1, behind - first), some(0, width + self.padding(i) - behind))
 
 
 def gen_passages(x: Column, element: str, *, size: int, stride: int, start_tokens=None, end_tokens=None, pad_token=None) -> Column:

@@ -42,6 +42,9 @@ class GeneratePassages(Pipe):
         if self.prepend_field:
             start = F.concat(start, F.coalesce(c(full_key(self.prepend_field, "input_ids")).cast("array<bigint>"), longs([])))
             before = F.coalesce(c(full_key(self.prepend_field, "text")), F.lit(""))
+        # a column of its own, so that its size isn't worked out for each window again
+        held = "__start__"
+        df, start = df.withColumn(held, start), c(held)
         end, text = longs(self.end_tokens), c(f("text"))
         pad = self.pad_token_id if self.pad_token_id is not None else 0
         w = Windows(F.size(ids), self.size, self.stride, F.size(start), len(self.end_tokens), self.pad_token_id is not None)
