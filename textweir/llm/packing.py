@@ -1,29 +1,30 @@
-"""Packing: training windows filled with the BM25 neighbours of a seed document, from an index sharded by content."""
+"""Packing: training windows filled with the BM25 neighbours of a seed document, searched in all shards."""
 
 from __future__ import annotations
 
 import math
+from collections import Counter
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.taskcontext import TaskContext
 
-from .common import as_array, c, check_broadcast, checkpoint, distinct_in_rows, hash_words, mix, release_memory, sized, split_words, table, text_batches
+from .common import as_array, c, check_broadcast, checkpoint, distinct_in_rows, hash_words, release_memory, split_words, table, text_batches
 
 WINDOW = 2048
-SHARD_DOCS = 4096
+SHARD_DOCS = 1024
 K1, B = 1.2, 0.75
 #: Words whose counts are broadcast, at most: the most frequent ones. Counts of the others are joined.
 KNOWN = 1_000_000
-#: A word's contribution to a score is a whole number of so many parts of one, so that sums are exact in any order.
-SCALE = 64
-#: Seeds that are scored at once.
-BLOCK = 32
+#: Seeds that ask at once, at most; those of a block are scored together.
+SEEDS, BLOCK = 8192, 1024
+#: Scores are kept to so many parts of one.
+SCALE = 10_000
+_INDEX = "shard long, ids array<long>, lengths binary, ends binary, codes binary, weights binary, words binary, idf binary"
 _SCHEMA = "shard long, window int, position int, doc_id long, first_word int, n_words int, score double"
-_ENCODED = "key long, key2 long, salt long, doc_id long, tie long, n_words int, codes binary, tf binary, rare array<long>, rare_tf binary"
 
 
 def _document_frequencies(batches):
@@ -66,6 +67,13 @@ def idf(docs: int, n: np.ndarray) -> np.ndarray:
     return np.log1p((docs - n + 0.5) / (n + 0.5))
 
 
+def _places(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where(keys[at] == hashes, at, -1)
+
+
 class CorpusStats:
     """Number and mean length of the corpus' documents, and the document counts of its most frequent words."""
 
@@ -76,15 +84,16 @@ class CorpusStats:
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """Place of each word among the known ones, or -1."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, at, -1)
+        return _places(self.keys, hashes)
 
-    def parts(self, n: np.ndarray, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """What words add to the scores of their documents, in whole SCALE-ths, 1 at least."""
-        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(self.mean, 1e-9)))
-        return np.maximum(np.rint(idf(self.docs, n) * w * SCALE), 1)
+    def weights(self, hashes: np.ndarray, others: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """BM25's idf by word; counts of words that aren't known come in (others, many), and the rest have one document."""
+        n = np.ones(len(hashes))
+        order = np.argsort(others, kind="stable")
+        for keys, counts in ((self.keys, self.counts), (others[order], many[order])):
+            at = _places(keys, hashes)
+            n[at >= 0] = counts[at[at >= 0]]
+        return idf(self.docs, n)
 
 
 def corpus_stats(texts: DataFrame, known: int = KNOWN) -> tuple[CorpusStats, DataFrame]:
@@ -101,209 +110,231 @@ def corpus_stats(texts: DataFrame, known: int = KNOWN) -> tuple[CorpusStats, Dat
     return CorpusStats(totals.get(1, 0), totals.get(2, 0), rows["word"].to_numpy(), rows["n"].to_numpy()), words.filter(F.col("n") < 2**level)
 
 
-def content_keys(row: np.ndarray, n_rows: int, hashes: np.ndarray, weights: np.ndarray, seed: int = 1) -> np.ndarray:
-    """A word's hash for each row, by weighted min-wise sampling: two rows have the same one with a chance of what
-    they share, by weight, of all they have together. Entries are sorted by row; every row has one."""
-    u = (mix(hashes.view(np.uint64) ^ np.uint64(seed * 0x5851F42D4C957F2D % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    cost = -np.log1p(-u) / weights
-    order = np.lexsort((hashes, cost, row))
-    first = np.searchsorted(row[order], np.arange(n_rows))
-    return hashes[order][first]
+def _words_of_shards(shared):
+    """(shard, word) of the words whose counts aren't broadcast."""
 
-
-def _encoder(shared):
     def run(batches):
-        stats, at = shared.value, TaskContext.get().partitionId() << 33
-        known = np.maximum(idf(stats.docs, stats.counts), 1e-3)
+        stats = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False) if not batch.column(0).null_count else None
+            shards = batch.column(0).to_numpy()
             for first, ends, codes, words in split_words(as_array(batch.column(1))):
-                length = np.diff(ends)
-                full = np.flatnonzero(length > 0)
+                row, code, _ = distinct_in_rows(ends, codes, len(words))
                 hashes = hash_words(words).view(np.int64)
-                place = stats.places(hashes)
-                order = np.lexsort((hashes, place))  # codes ascend within a row, whatever the slice
-                turn = np.empty(len(words), np.int64)
-                turn[order] = np.arange(len(words))
-                row, code, tf = distinct_in_rows(ends, turn[codes], len(words))
-                place, hashes = place[order][code], hashes[order][code]
-                row = np.searchsorted(full, row)
-                inside = place >= 0
-                # words of one document alone aren't asked, unless a document has no other
-                alone = np.bincount(row[inside], minlength=len(full)) == 0
-                weight = np.where(inside, known[np.maximum(place, 0)] if len(known) else 1.0, np.where(alone[row], 1.0, 1e-12))
-                keys = [content_keys(row, len(full), hashes, weight, seed) for seed in (1, 2)]
-                cuts, outer = (np.concatenate(([0], np.cumsum(np.bincount(row[x], minlength=len(full))))) for x in (inside, ~inside))
-                codes32, tf32, rare_tf = place[inside].astype(np.int32), tf[inside].astype(np.int32), tf[~inside].astype(np.int32)
-                tie = np.zeros(len(full), np.int64)
-                np.add.at(tie, row, mix((hashes ^ (tf << 40)).view(np.uint64)).view(np.int64))
-                salt = mix((at + first + full).astype(np.uint64)).view(np.int64)
-                own = batch.column(0).slice(first, len(length)).take(pa.array(full)) if ids is None else pa.array(ids[first + full], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, keys), pa.array(salt), own, pa.array(tie), pa.array(length[full].astype(np.int32))]
-                    + [pa.array([x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary()) for x in (codes32, tf32)]
-                    + [pa.ListArray.from_arrays(pa.array(outer.astype(np.int32)), pa.array(hashes[~inside]))]
-                    + [pa.array([rare_tf[i:j].tobytes() for i, j in zip(outer[:-1], outer[1:])], pa.binary())],
-                    names=[x.split()[0] for x in _ENCODED.split(", ")],
-                )
-            at += len(batch)
+                keep = (stats.places(hashes) < 0)[code]
+                yield pa.RecordBatch.from_arrays([pa.array(shards[first + row[keep]]), pa.array(hashes[code[keep]])], names=["its", "word"])
         release_memory()
 
     return run
 
 
-class Postings:
-    """Inverted index of the documents to find: (document, word, value) entries, asked for blocks of seeds.
+def bm25_block(q: tuple, n_q: int, d: tuple, n_d: int, n_words: int) -> np.ndarray:
+    """Scores (4 decimals, as whole numbers) of n_d documents for n_q queries, given (row, word, weight) of either.
 
-    Posting lists of words in more than a 64th of the documents are held as vectors and multiplied; the others are
-    joined posting by posting. Values are whole numbers whose sums single precision holds exactly.
+    Posting lists of words in more than a sixteenth of the documents are held as vectors and multiplied; the others
+    are joined posting by posting. Both are exact.
     """
+    own = np.bincount(d[1], minlength=n_words)
+    frequent = own > max(n_d / 16, 1)
+    place = np.cumsum(frequent) - 1
+    vectors = []
+    for (row, code, weight), n in ((q, n_q), (d, n_d)):
+        dense = frequent[code]
+        x = np.zeros((n, int(frequent.sum())), np.float32)
+        x[row[dense], place[code[dense]]] = weight[dense]
+        vectors.append(x)
+    scores = vectors[0] @ vectors[1].T
+    tail = np.flatnonzero(~frequent[d[1]])
+    tail = tail[np.argsort(d[1][tail], kind="stable")]
+    start = np.searchsorted(d[1][tail], np.arange(n_words))
+    ask = np.flatnonzero(~frequent[q[1]] & (own[q[1]] > 0))
+    if len(ask):
+        code = q[1][ask]
+        many = own[code]
+        left = np.repeat(ask, many)
+        right = tail[np.repeat(start[code], many) + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)]
+        scores += np.bincount(q[0][left] * n_d + d[0][right], weights=q[2][left] * d[2][right], minlength=n_q * n_d).reshape(n_q, n_d)
+    return np.rint(scores * SCALE).astype(np.int64)
+
+
+def _best(keys: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, in no order."""
+    return keys if keys.shape[1] <= k else np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:]
+
+
+def _entries(ends: np.ndarray, keep: np.ndarray, *values: np.ndarray):
+    """(row among those kept, value...) of the entries of the rows to keep."""
+    many = np.diff(ends)
+    inside = np.repeat(keep, many)
+    return np.repeat((np.cumsum(keep) - 1)[keep], many[keep]), *(x[inside] for x in values)
+
+
+def _shards(batches):
+    """(shard, ends, codes, weights, hashes of words, idf) of each shard of the index in the partition."""
+    for batch in batches:
+        for row in batch.select(["shard", "ends", "codes", "weights", "words", "idf"]).to_pylist():
+            yield row["shard"], *(np.frombuffer(row[x], t) for x, t in (("ends", np.int64), ("codes", np.int32), ("weights", np.float32), ("words", np.int64), ("idf", np.float32)))
+
+
+class _Corpus:
+    """The documents in the order in which they are seeds: a few bytes each, held by the driver."""
 
-    def __init__(self, live: np.ndarray, cuts: np.ndarray, codes: np.ndarray, values: np.ndarray, n_words: int):
-        many = np.diff(cuts)[live]
-        inside = np.repeat((cuts[live] - np.cumsum(many) + many).astype(np.int32), many) + np.arange(int(many.sum()), dtype=np.int32)
-        row, code, value = np.repeat(np.arange(len(live), dtype=np.int32), many), codes[inside], values[inside]
-        self.live, self.cuts, self.codes = live, cuts, codes
-        self.own = np.bincount(code, minlength=n_words)
-        self.frequent = self.own > max(len(live) / 64, 1)
-        self.place = np.cumsum(self.frequent) - 1
-        dense = self.frequent[code]
-        self.x = np.zeros((len(live), int(self.frequent.sum())), np.float32)
-        self.x[row[dense], self.place[code[dense]]] = value[dense]
-        row, code, value = row[~dense], code[~dense], value[~dense]
-        order = np.argsort(code, kind="stable")
-        self.row, self.value = row[order], value[order]
-        self.start = np.searchsorted(code[order], np.arange(n_words))
-
-    def scores(self, seeds: np.ndarray) -> np.ndarray:
-        """(seeds, live documents)."""
-        many = self.cuts[seeds + 1] - self.cuts[seeds]
-        row = np.repeat(np.arange(len(seeds)), many)
-        code = np.concatenate([self.codes[self.cuts[s] : self.cuts[s + 1]] for s in seeds])
-        dense = self.frequent[code]
-        q = np.zeros((len(seeds), self.x.shape[1]), np.float32)
-        q[row[dense], self.place[code[dense]]] = 1
-        out, n = q @ self.x.T, len(self.live)
-        ask = ~dense & (self.own[code] > 0)
-        row, code = row[ask], code[ask]
-        if len(code):
-            many = self.own[code]
-            right = np.repeat(self.start[code] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
-            out += np.bincount(np.repeat(row * n, many) + self.row[right], weights=self.value[right], minlength=out.size).reshape(out.shape)
-        return out
-
-
-def fill_windows(lengths: np.ndarray, cuts: np.ndarray, codes: np.ndarray, values: np.ndarray, n_words: int, window: int):
-    """Yields (window, position, document, first word, words, score or None).
+    def __init__(self, index: DataFrame):
+        got = index.select("shard", "ids", "lengths").toArrow().to_pylist()
+        got.sort(key=lambda r: r["shard"])
+        sizes = [len(r["ids"]) for r in got]
+        self.first = dict(zip([r["shard"] for r in got], np.cumsum([0, *sizes])[:-1].tolist()))
+        ids = [i for r in got for i in r["ids"]]
+        null = np.array([i is None for i in ids], bool)
+        order = np.lexsort((np.arange(len(ids)), np.array([i or 0 for i in ids], np.int64), null))
+        self.rank = np.empty(len(ids), np.int64)
+        self.rank[order] = np.arange(len(ids))
+        self.ids, self.null = np.array([i or 0 for i in ids], np.int64)[order], null[order]
+        self.shard = np.repeat(np.array([r["shard"] for r in got], np.int64), sizes)[order]
+        self.words_in = np.concatenate([np.frombuffer(r["lengths"], np.int32) for r in got] or [np.empty(0, np.int32)])[order].astype(np.int64)
+
+
+def _hits(index: DataFrame, corpus: _Corpus, free: np.ndarray, room: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Row by row the k best free documents of all shards that fit the room of each seed (by number, ascending), best first.
+
+    A hit is score * 2**32 - number of the document, so that of equal ones the first is greater; 0 is none.
+    """
+    sc = index.sparkSession.sparkContext
+    first, rank, words_in = corpus.first, corpus.rank, corpus.words_in
+    wanted = np.zeros(len(free), bool)
+    wanted[seeds] = True
+    asked = sc.broadcast((first, rank, wanted))
+
+    def ask(batches):
+        first, rank, wanted = asked.value
+        for shard, ends, codes, _, words, idf in _shards(batches):
+            own = rank[first[shard] : first[shard] + len(ends) - 1]
+            if (keep := wanted[own]).any():
+                row, code = _entries(ends, keep, codes)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own[keep][row], words[code], idf[code])], names=["seed", "word", "idf"])
+
+    asks = index.mapInArrow(ask, "seed binary, word binary, idf binary").toArrow()
+    seed, word, idf = (np.frombuffer(b"".join(asks[x].to_pylist()), t) for x, t in (("seed", np.int64), ("word", np.int64), ("idf", np.float32)))
+    words, at, code = np.unique(word, return_index=True, return_inverse=True)
+    order = np.argsort(seed, kind="stable")
+    row, code = np.searchsorted(seeds, seed[order]).astype(np.int32), code[order].astype(np.int32)
+    cuts = np.searchsorted(row, np.arange(0, len(seeds) + BLOCK, BLOCK))
+    shared = sc.broadcast((first, rank, free, words_in, words, idf[at], row, code, cuts, room[seeds]))
+
+    def search(batches):
+        first, rank, free, lengths, words, idf, row, code, cuts, room = shared.value
+        best = [np.zeros((min(BLOCK, len(room) - i), k), np.int64) for i in range(0, len(room), BLOCK)]
+        for shard, ends, codes, weights, own_words, _ in _shards(batches):
+            own = rank[first[shard] : first[shard] + len(ends) - 1]
+            if not (keep := free[own]).any():
+                continue
+            own = own[keep]
+            at = np.minimum(np.searchsorted(words, own_words), max(len(words) - 1, 0))
+            met = words[at] == own_words
+            back = np.full(len(words), -1)
+            back[at[met]] = np.flatnonzero(met)
+            d_row, d_code, d_weight = _entries(ends, keep, codes, weights)
+            for b, held in enumerate(best):
+                part = slice(cuts[b], cuts[b + 1])
+                q_code = back[code[part]]
+                there = q_code >= 0
+                q = (row[part][there].astype(np.int64) - b * BLOCK, q_code[there], idf[code[part][there]])
+                scores = bm25_block(q, len(held), (d_row, d_code, d_weight), len(own), len(own_words))
+                keys = np.where((scores > 0) & (lengths[own] <= room[b * BLOCK : b * BLOCK + len(held), None]), (scores << 32) - own, 0)
+                best[b] = _best(np.concatenate((held, _best(keys, k)), axis=1), k)
+        for b, held in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["block", "keys"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, k) for x in group["keys"].to_pylist()], axis=1)
+        return pa.table({"block": group["block"][:1], "keys": pa.array([np.sort(_best(keys, k), axis=1)[:, ::-1].tobytes()], pa.binary())})
+
+    merged = index.mapInArrow(search, "block int, keys binary").groupBy("block").applyInArrow(merge, "block int, keys binary").toArrow()
+    blocks = sorted(zip(merged["block"].to_pylist(), merged["keys"].to_pylist()))
+    asked.destroy()
+    shared.destroy()
+    return np.frombuffer(b"".join(x for _, x in blocks), np.int64).reshape(len(seeds), k)
+
+
+def fill_windows(lengths: np.ndarray, hits_of, window: int, most: int = SEEDS):
+    """Yields (seed, window, position, document, first word, words, score or None), windows numbered from 0.
 
     Documents are seeds in their order, unless used before. What of a document exceeds a window fills windows of its
     own; its rest is the seed. A window takes the unused document that scores best for the seed, above 0, and still
-    fits, again and again; of equal ones the first. The words of document i are codes[cuts[i]:cuts[i + 1]].
+    fits, again and again; of equal ones the first.
+
+    hits_of(free, room, seeds, k) is asked in rounds for the k best free documents. A window whose k hits are used up
+    stays open and asks again; a seed that would find few of its hits unused waits for the next round. So a window
+    is closed only when no unused document that scores above 0 fits.
     """
-    free, at, index = lengths > 0, -1, None
+    free, at = lengths > 0, -1
     rest = np.where(lengths > 0, lengths % window, 0)
-    order, next_at = np.flatnonzero(free), 0
-    while next_at < len(order):
-        block = order[next_at : next_at + BLOCK]
-        next_at += BLOCK
-        block = block[free[block]]
-        if not len(block):
-            continue
-        live = int(free.sum())
-        if index is None or 2 * live < len(index.live):
-            index = Postings(np.flatnonzero(free), cuts, codes, values, n_words)
-            size = lengths[index.live]
-        unused = free[index.live]
-        asking = block[rest[block] > 0]
-        scores = dict(zip(asking.tolist(), index.scores(asking))) if len(asking) else {}
-        place = dict(zip(block.tolist(), np.searchsorted(index.live, block).tolist()))
-        for seed in block.tolist():
-            if not free[seed]:
+    room = np.where(rest > 0, window - rest, 0)
+    held: dict[int, tuple[int, int]] = {}  # open windows: seed -> window, next position
+    per_window = max(1, math.ceil(window / max(1.0, lengths[free].mean()))) if free.any() else 1
+    usual = min(512, max(32, 4 * per_window))
+    while free.any():
+        n = int(free.sum())
+        k = n if n <= SHARD_DOCS else usual
+        waiting = list(held)[:most]
+        fresh = np.flatnonzero(free)[: n if n <= SHARD_DOCS else max(1, min(most, max(n // (4 * per_window), 256)) - len(waiting))]
+        seeds = np.union1d(np.array(waiting, np.int64), fresh[rest[fresh] > 0])
+        hits = hits_of(free, room, seeds, k) if len(seeds) else np.empty((0, k), np.int64)
+        least, moved = int(lengths[free].min()), False
+        for seed in [*waiting, *fresh.tolist()]:
+            opened = seed in held
+            if not opened and not free[seed]:
                 continue
-            free[seed] = unused[place[seed]] = False
-            for first in range(0, int(lengths[seed] - rest[seed]), window):
-                at += 1
-                yield at, 0, seed, first, window, None
-            if not rest[seed]:
+            took, left = [], int(room[seed])
+            if rest[seed]:
+                own = hits[np.searchsorted(seeds, seed)]
+                own = own[own > 0]
+                scores = -(-own >> 32)
+                docs = (scores << 32) - own
+                for d, s in zip(docs[free[docs]].tolist(), scores[free[docs]].tolist()):
+                    if lengths[d] <= left and d != seed:
+                        took.append((d, s / SCALE))
+                        left -= int(lengths[d])
+                more = len(own) == k < n and left >= least
+            else:
+                more = False
+            if more and not opened and moved and len(took) < k // 4:
                 continue
-            at += 1
-            yield at, 0, seed, int(lengths[seed] - rest[seed]), int(rest[seed]), None
-            room, position = int(window - rest[seed]), 1
-            left = np.where(unused & (size <= room), scores[seed], 0)
-            while room > 0:
-                k = int(left.argmax())
-                if (s := left[k]) <= 0:
-                    break
-                found = int(index.live[k])
-                free[found] = unused[k] = False
-                room -= int(lengths[found])
-                left[k] = 0
-                left[size > room] = 0
-                yield at, position, found, 0, int(lengths[found]), float(s) / SCALE
+            moved = True
+            if opened:
+                number, position = held[seed]
+            else:
+                free[seed] = False
+                for first in range(0, int(lengths[seed] - rest[seed]), window):
+                    at += 1
+                    yield seed, at, 0, seed, first, window, None
+                if not rest[seed]:
+                    continue
+                at += 1
+                number, position = at, 1
+                yield seed, at, 0, seed, int(lengths[seed] - rest[seed]), int(rest[seed]), None
+            for d, s in took:
+                free[d] = False
+                yield seed, number, position, d, 0, int(lengths[d]), s
                 position += 1
-
-
-def _numbers(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all, how many in each) 32-bit numbers that the entries of a binary column hold."""
-    ends = np.frombuffer(lists.buffers()[1], np.int32)[lists.offset : lists.offset + len(lists) + 1]
-    held = np.frombuffer(lists.buffers()[2], np.uint8)[ends[0] : ends[-1]] if lists.buffers()[2] else np.empty(0, np.uint8)
-    return np.frombuffer(held.tobytes(), np.int32), np.diff(ends) // 4
-
-
-def _filler(shared, window: int):
-    def run(docs: pa.Table, rare: pa.Table) -> pa.Table:
-        stats = shared.value
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-        names = [x.split()[0] for x in _SCHEMA.split(", ")]
-        if not docs.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        docs = docs.take(pc.sort_indices(docs.select(["doc_id", "tie"]), sort_keys=[("doc_id", "ascending"), ("tie", "ascending")]))
-        shard, ids, lengths = docs["shard"][0].as_py(), docs["doc_id"].to_pylist(), docs["n_words"].to_numpy().astype(np.int64)
-        (code, many), (tf, _), (outer_tf, _) = (_numbers(as_array(docs[x])) for x in ("codes", "tf", "rare_tf"))
-        lists = as_array(docs["rare"])
-        outer, outer_many = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-        del docs, lists
-        # words that the shard has twice and that aren't known come with their counts
-        order = np.argsort(rare["word"].to_numpy())
-        word, n = rare["word"].to_numpy()[order], rare["n"].to_numpy()[order]
-        at = np.minimum(np.searchsorted(word, outer), max(len(word) - 1, 0)).astype(np.int32)
-        met = word[at] == outer if len(word) else np.zeros(len(outer), bool)
-        count = np.concatenate((stats.counts, n))
-        own = np.bincount(code, minlength=len(count)) + np.bincount(at[met] + len(stats.keys), minlength=len(count))
-        place, n_words = (np.cumsum(own > 1) - 1).astype(np.int32), int((own > 1).sum())
-        found = []
-        for row, c, t in ((np.repeat(np.arange(len(ids), dtype=np.int32), many), code, tf), (np.repeat(np.arange(len(ids), dtype=np.int32), outer_many)[met], at[met] + np.int32(len(stats.keys)), outer_tf[met])):
-            keep = own[c] > 1  # a word of one document finds nothing
-            row, c, t = row[keep], c[keep], t[keep]
-            found.append((row, place[c], stats.parts(count[c], t, lengths[row]).astype(np.float32)))
-        row, code, value = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(row, kind="stable")
-        code, value, cuts = code[order], value[order], np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(ids)))))
-        del row, order, found, tf, outer
-        del own, place, outer_tf, rare
-        rows = [(shard, w, p, ids[k], first, n, s) for w, p, k, first, n, s in fill_windows(lengths, cuts, code, value, n_words, window)]
-        del code, value
-        release_memory()
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
-
-    return run
+            room[seed] = left
+            held.pop(seed, None)
+            if more:
+                held[seed] = (number, position)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_docs: int = SHARD_DOCS, known: int = KNOWN) -> DataFrame:
     """One row for each stretch of a document in a window: shard, window, position, id, first word, words, BM25 score.
 
-    The inverted index lies in shards of about shard_docs documents. A document's shard is that of one of its words,
-    drawn by weighted min-wise sampling: documents that share much of their telling words, as copies do, meet in a
-    shard however large the corpus is, and work grows with the corpus and not with its square. Of a word that draws
-    more than a 32nd of a shard, a second drawing decides, and beyond that chance. Within the shard every unused document is a candidate, all
-    words count and scores are exact; documents of other shards aren't candidates. Words' counts are those of all
-    documents. Words are lower-cased, split at white space and freed of signs at their ends; a seed asks with its
-    distinct words, each of which adds its BM25 part in whole 64ths, 1 at least.
-
-    Every word of every document is in exactly one window. Ids are integers. A null id is kept as null; a null text
-    or one without words is in no window. Repeated rows are documents of their own, spread like all that is frequent.
-    Seeds go by id (nulls last); of equal ids, by a hash of their words. An empty table gives no rows. Extra columns
-    are ignored. The table is read twice and must give the same rows each time, as stored tables do.
+    The inverted index lies in shards of about shard_docs documents, by a hash of id, text and row. Every seed asks all
+    shards, and the best hits of all are merged: each unused document of the corpus is a candidate, and scores are
+    exact, so the windows don't depend on the shards. This work grows with the square of the corpus. Windows are
+    filled one after another by the driver, which holds some 40 bytes a document. The shard of a row is the seed's.
+    Words are lower-cased, split at white space and freed of signs at their ends; a seed asks with its distinct words.
+
+    Every word of every document is in exactly one window. A null id is kept as null; a null text or one without
+    words is in no window. Repeated rows are documents of their own. Seeds go by id (nulls last); of equal ids, by
+    shard, then text. An empty table gives no rows. Extra columns are ignored. The table is read three times and must
+    give the same rows each time, as stored tables do. Words' counts are those of all documents, however rare a word is.
     """
     spark = df.sparkSession
     text_batches(spark)
@@ -311,18 +342,51 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window:
     stats, others = corpus_stats(docs.select("text"), known)
     if not stats.docs:
         return spark.createDataFrame([], _SCHEMA)
-    shards, most = max(1, math.ceil(stats.docs / shard_docs)), max(8, shard_docs // 32)
+    shards = max(1, math.ceil(stats.docs / shard_docs))
     shared = spark.sparkContext.broadcast(stats)
-    encoded = checkpoint(docs.mapInArrow(_encoder(shared), _ENCODED))
-    hot = checkpoint(encoded.groupBy("key").agg(F.count("*").alias("many")).filter(F.col("many") > most).select("key", F.lit(True).alias("hot")))
-    both = encoded.groupBy("key", "key2").agg(F.count("*").alias("many")).filter(F.col("many") > most)
-    hotter = checkpoint(both.select("key", "key2", F.ceil(F.col("many") / most).alias("parts")))
-    place = F.xxhash64("key", F.when(F.col("hot"), F.col("key2")), F.coalesce(F.pmod("salt", "parts"), F.lit(0)))
-    placed = encoded.join(sized(hot), "key", "left").join(sized(hotter), ["key", "key2"], "left")
-    placed = placed.withColumn("shard", F.pmod(place, F.lit(shards)).cast("long")).drop("key", "key2", "salt", "hot", "parts")
-    met = placed.select(F.col("shard").alias("shard"), F.explode("rare").alias("word")).groupBy("shard", "word").agg(F.count("*").alias("many")).filter("many > 1")
-    rare = met.join(others, "word").select(F.col("shard").alias("its"), "word", "n")
-    return placed.groupBy("shard").cogroup(rare.groupBy("its")).applyInArrow(_filler(shared, window), _SCHEMA)
+
+    def build(group: pa.Table, rare: pa.Table) -> pa.Table:
+        if not group.num_rows:
+            kinds = {"shard": pa.int64(), "ids": pa.list_(pa.int64())}
+            return pa.schema([(x.split()[0], kinds.get(x.split()[0], pa.binary())) for x in _INDEX.split(", ")]).empty_table()
+        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        stats = shared.value
+        ((_, ends, codes, words),) = split_words(as_array(group["text"]), 1 << 62)
+        row, code, tf = distinct_in_rows(ends, codes, len(words))
+        length = np.diff(ends)
+        w = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / max(stats.mean, 1e-9)))
+        at = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(length)))))
+        hashes = hash_words(words).view(np.int64)
+        values = (length.astype(np.int32), at, code.astype(np.int32), w.astype(np.float32), hashes, stats.weights(hashes, rare["word"].to_numpy(), rare["n"].to_numpy()).astype(np.float32))
+        return pa.Table.from_arrays([group["shard"][:1], pa.array([group["doc_id"].to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in values)], names=["shard", "ids", "lengths", "ends", "codes", "weights", "words", "idf"])
+
+    salt = F.monotonically_increasing_id()
+    placed = docs.select(F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(shards)).cast("long").alias("shard"), "doc_id", "text")
+    rare = placed.select("shard", "text").mapInArrow(_words_of_shards(shared), "its long, word long").join(others, "word").select("its", "word", "n")
+    index = checkpoint(placed.groupBy("shard").cogroup(rare.groupBy("its")).applyInArrow(build, _INDEX))
+    corpus = _Corpus(index)
+    if not len(corpus.ids):
+        return spark.createDataFrame([], _SCHEMA)
+    return _packed(spark, corpus, fill_windows(corpus.words_in, lambda *x: _hits(index, corpus, *x), window))
+
+
+def _packed(spark: SparkSession, corpus: _Corpus, stretches) -> DataFrame:
+    """The table of the stretches, stored part by part; windows are numbered shard by shard."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+    numbers: dict[int, int] = {}
+    many: Counter = Counter()
+    parts: list[DataFrame] = []
+    while rows := list(islice(stretches, 1_000_000)):
+        out = []
+        for seed, window, position, d, first, n, score in rows:
+            shard = int(corpus.shard[seed])
+            if window not in numbers:
+                numbers[window] = many[shard]
+                many[shard] += 1
+            out.append((shard, numbers[window], position, None if corpus.null[d] else int(corpus.ids[d]), first, n, score))
+        made = pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
+        parts.append(checkpoint(spark.createDataFrame(made, _SCHEMA)))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], _SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
