@@ -1,9 +1,11 @@
 """WARC derivatives and URL filters against SQL, brute force and round trips."""
 
 import gzip
+import random
 
+import duckdb
 import pytest
-from helpers import DATA, same_as_sql
+from helpers import DATA, rows_of, same_as_sql
 
 from textweir.llm import registry
 from textweir.llm import url_filter as U
@@ -23,6 +25,22 @@ def test_text_of_a_page(spark):
     assert df.first()[0] == "Big\nOne two\nthree é&lt;&#9999999; bold l\na < b"
 
 
+def test_odd_pages_same_as_sql(spark, tmp_path):
+    parts = ["<p>", "</b>", "<title>", "</title", "<script>", "</script >", "<!--", "-->", "<", ">", " ", "   ", "\n", " \n", "\t", "\r\n", "\x0b", "\u00a0", "&nbsp;", "&lt;", "&#39;", "&amp;", "&#38;", "&#65;", "&#160;", "&#10;", "&#35;", "&#55296;", "&", "#39;", "lt;", "é", "a", "$1"]
+    r = random.Random(3)
+    pages = [(i, "u", "".join(r.choices(r.sample(parts, r.randint(1, len(parts))), k=r.randint(0, 20)))) for i in range(2000)]
+    spark.createDataFrame([*pages, (-1, "u", None)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    (file,) = (tmp_path / "pages").glob("*.parquet")
+    want = duckdb.sql(registry.SQL["op5_warc"].replace("FROM pages", f"FROM '{file}'")).to_arrow_table()
+    got = W.derive(W.page_responses(spark.read.parquet(str(file)))).toArrow()
+    assert rows_of(got) == rows_of(want) and got.num_rows == 2 * len(pages)
+
+
+def test_each_text_is_made_once(spark):
+    plan = registry.QUERIES["op5_warc"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("</title|") == 1
+
+
 def test_records(spark, tmp_path):
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html"
     rows = [("<r1>", "response", "http://a/\r\nX: y", "2020-01-01T00:00:00Z", head, HTML, "e1", "c1"), ("<r2>", "response", None, None, None, "", "e2", "c2"), ("<r3>", "response", "u", "d", "h", None, "e3", "c3"), (None, "response", "u", "d", "h", "x", "e4", "c4"), ("<r5>", "request", "u", "d", "h", "x", "e5", "c5"), ("<r6>", "response", "http://long", "d", head, "<p>word</p>" * 20_000, "e6", "c6")]

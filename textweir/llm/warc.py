@@ -31,27 +31,48 @@ ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&a
 #: Comes last, both ways to write it at once: what it begins isn't a reference again.
 AMPERSAND = "&(?:amp|#38);"
 SPACES = ((r"[ \t\r\f\x0B\x{00A0}]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+|[ \n]+$", ""))
+#: White space that SPACES makes a space, and all of SPACES but what begins a text where there is none of it. Groups: what stays of a run.
+ODD, SPACED = r"[\t\r\f\x0B\x{00A0}]", r"[ \n](?:\z|(?=[ \n])(?:[ \n]*+\z|(?<=(\n))[ \n]++| *+(?:(\n)[ \n]*+|(?<=( ) ))))"
 TITLE, LANGUAGE, LINK = r"(?is)<title[^>]*>(.*?)(?:</title|\z)", r"(?is)<html[^>]* lang=\"([^\"]*)\"", r"(?is)<a [^>]*?href=\"([^\"]*)\""
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) where f names x more than once; x is made once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def unescape(x: Column) -> Column:
     """Named references of ENTITIES and decimal ones; others stay as they are."""
-    found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(&#[0-9]{1,7};)"), 1))
     code = lambda e: F.regexp_replace(e, "[^0-9]", "").cast("long")
     sign = lambda e: F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
     valid = lambda e: (code(e).between(32, 0xD7FF)) | (code(e).between(0xE000, 0x10FFFF))
-    # & itself waits for the end
-    whole, x = x, F.aggregate(F.filter(found, lambda e: valid(e) & (code(e) != 38)), x, lambda a, e: F.replace(a, e, sign(e)))
-    for name, to in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(to))
-    x = F.regexp_replace(x, AMPERSAND, "&")
-    return F.when(F.contains(whole, F.lit("&")), x).otherwise(whole)
+
+    def decimal(x: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(&#[0-9]{1,7};)"), 1))
+        # & itself waits for the end
+        return F.aggregate(F.filter(found, lambda e: valid(e) & (code(e) != 38)), x, lambda a, e: F.replace(a, e, sign(e)))
+
+    def named(piece: Column, k: Column) -> Column:  # what follows an &; nothing that is put in begins or ends a reference
+        out = F.when(k == 0, piece)
+        for name, to in (*ENTITIES, ("&amp;", "&"), ("&#38;", "&")):
+            out = out.when(F.startswith(piece, F.lit(name[1:])), F.concat(F.lit(to), F.substring(piece.cast("binary"), len(name), 0x7FFFFFFF).cast("string")))
+        return out.otherwise(F.concat(F.lit("&"), piece))
+
+    def decoded(x: Column) -> Column:
+        x = F.when(F.contains(x, F.lit("&#")), decimal(x)).otherwise(x)
+        return F.array_join(F.transform(F.split(x, "&"), named), "")
+
+    return _let(x, lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x))
 
 
 def _spaced(x: Column) -> Column:
-    for pattern, to in SPACES[:2]:
-        x = F.regexp_replace(x, pattern, to)
-    return F.btrim(x, F.lit(" \n"))  # as the last pattern has it
+    """As SPACES has it, in one pass where spaces and line ends are the only white space."""
+
+    def spaced(x: Column) -> Column:
+        one = F.when(F.rlike(x, F.lit(ODD)), F.regexp_replace(x, *SPACES[0])).otherwise(x)
+        return F.ltrim(F.regexp_replace(one, SPACED, "$1$2$3"), F.lit(" \n"))
+
+    return _let(x, spaced)
 
 
 def stripped(html: Column) -> Column:
