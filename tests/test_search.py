@@ -120,3 +120,45 @@ def test_results_of_two_engines_are_merged(spark):
     assert set(got[0][0]) == {1, 0, 2} and got[0][0][0] == 1 and got[1][0] == [1, 3, -1] and got[2][0] == [-1, -1, -1]
     filled = auto_engine("lookup", {"k": 4, "fill_missing": True}).build(corpus)(queries)
     assert all(0 <= i < 5 for r in filled.collect() for i in r["index.idx"])
+
+
+def test_exact_search_hands_on_k_for_a_partition(spark, monkeypatch):
+    """Not for each pair of blocks; before, the rows that were sorted grew with the square of the table."""
+    from textweir.search import dense
+
+    monkeypatch.setattr(dense, "top_k", lambda found, k: found.withColumn("rank", dense.F.lit(1)))
+    _, corpus = vectors(spark, 3 * dense.BLOCK, 4, "index", 1)
+    _, queries = vectors(spark, 20, 4, "query", 2)
+    search = lambda q, v: dense.exact_search(*(x.coalesce(1).toDF("id", "vector") for x in (q, v)), 3)
+    assert search(queries, corpus).count() == 20 * 3
+
+
+@pytest.mark.parametrize("metric", ["inner_product", "l2"])
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e20])
+def test_screening_loses_nothing(metric, scale):
+    """Repeated vectors, near ties that single precision can't tell apart, and numbers that it can't hold."""
+    from textweir.search.dense import Best, exact_scores
+
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((40, 6)).repeat(30, axis=0)
+    x[::2] += 1e-9 * rng.standard_normal((600, 6))
+    x *= scale
+    ids = rng.permutation(len(x))
+    q = x[rng.permutation(len(x))[:50]]
+    found = Best(np.arange(50), q, 7, metric)
+    for i in range(0, len(x), 500):
+        found.add(ids[i : i + 500], x[i : i + 500])
+    found.settle()
+    for i in range(50):
+        s = exact_scores(q[i : i + 1], x, metric)
+        assert found.idx[found.row == i].tolist() == ids[np.lexsort((ids, -s))[:7]].tolist()
+
+
+def test_all_lists_are_an_exact_search(spark):
+    """No task gathers a list and all queries, as the cogrouped lists do."""
+    v, corpus = vectors(spark, 300, 8, "index", 1)
+    q, queries = vectors(spark, 16, 8, "query", 2)
+    found = DenseSearch(DenseConfig(k=10, factory="PCAR8,IVF4,Flat", nprobe=4)).build(corpus).search(queries)
+    assert "CoGroup" not in found._jdf.queryExecution().toString()
+    got = {i: [r.idx for r in sorted(found.collect(), key=lambda r: -r.score) if r.qid == i] for i in range(16)}
+    assert [got[i] for i in range(16)] == best(q, v, 10).tolist()

@@ -14,9 +14,13 @@ from ..core.columns import c, full_key
 from .base import Search, SearchConfig
 from .result import top_k
 
-#: Vectors in a block; a task holds two blocks and their products.
+#: Vectors in a block; a task holds two blocks and the products of one with a tile of the other.
 BLOCK = 2048
-_BLOCKS = "ids array<bigint>, flat array<double>, n int"
+#: Vectors that a block of queries meets at once: their products stay in a core's cache.
+TILE = 512
+#: Results that a task holds at most before it hands them on.
+HELD = 1 << 21
+_BLOCKS = "ids binary, flat binary, n int"
 _FOUND = "qid bigint, idx bigint, score double"
 
 
@@ -66,6 +70,11 @@ def as_matrix(x) -> np.ndarray:
     return np.nan_to_num(flat, nan=0.0).reshape(len(x), -1)
 
 
+def as_lists(x: np.ndarray) -> pa.ListArray:
+    """The other way."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x, np.float64).ravel()))
+
+
 def products(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     s = q @ v.T
     return s if metric == "inner_product" else 2 * s - (q * q).sum(axis=1)[:, None] - (v * v).sum(axis=1)[None, :]
@@ -80,35 +89,124 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int | None) -> tuple[np.ndar
 
 
 def blocks(vectors: DataFrame, size: int = BLOCK) -> DataFrame:
-    """(id, vector) packed, partition by partition."""
+    """(id, vector) packed, partition by partition; ids and entries as the bytes of int64 and float64."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, size):
                 part = batch.slice(i, size)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy()], pa.list_(pa.int64())), pa.array([as_matrix(part.column(1)).ravel()], pa.list_(pa.float64())), pa.array([part.num_rows], pa.int32())], names=["ids", "flat", "n"])
+                ids, flat = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), as_matrix(part.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([flat.tobytes()], pa.binary()), pa.array([part.num_rows], pa.int32())], names=["ids", "flat", "n"])
 
     return vectors.mapInArrow(run, _BLOCKS)
 
 
+def exact_scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Of pairs, row by row, summed up in one order: equal vectors get equal scores, wherever they stand."""
+    return (q * v).sum(axis=1) if metric == "inner_product" else -((q - v) ** 2).sum(axis=1)
+
+
+class Best:
+    """The k best so far of each query of a block.
+
+    Products in single precision only rule pairs out: those that, with the most that rounding can take off, are worse than
+    the k-th best so far. What is left is scored in double precision, so the result is that of an exact search.
+    """
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str):
+        self.qids, self.q, self.k, self.metric = qids, q, k, metric
+        self.norms = (q * q).sum(axis=1)
+        self.row, self.idx, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(q), -np.inf)
+        self.wait: list[tuple] = []
+        self.waiting = 0
+
+    def __len__(self) -> int:
+        return len(self.row) + self.waiting
+
+    def _screen(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Two matrices whose products rank a query's vectors, and the most by which a product is off, for each query."""
+        q, most = self.q, max(np.abs(self.q).max(initial=0), np.abs(v).max(initial=0))
+        if self.metric != "inner_product":
+            # the rank of -|q-v|^2 is that of qv - |v|^2 / 2
+            q, v = np.c_[q, np.ones(len(q))], np.c_[v, (v * v).sum(axis=1) / -2]
+        kind, unit = (np.float32, 2.0**-24) if most < 1e15 else (np.float64, 2.0**-53)
+        size = np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1).max(initial=0))
+        return q.astype(kind), v.astype(kind), 2 * (q.shape[1] + 8) * unit * size + q.shape[1] * 1e-25
+
+    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+        with np.errstate(invalid="ignore", over="ignore"):
+            a, b, off = self._screen(v)
+            for i in range(0, len(v), TILE):
+                s = a @ b[i : i + TILE].T
+                if self.least.min() == -np.inf and s.shape[1] >= self.k:
+                    # a query that has fewer than k asks for the k best of the tile at least; both values may be off
+                    first = np.partition(s, -self.k, axis=1)[:, -self.k] - 2 * off
+                else:
+                    first = -np.inf
+                least = self.least if self.metric == "inner_product" else (self.least + self.norms) / 2
+                bar = np.nextafter(np.maximum(least - off, first).astype(s.dtype), s.dtype.type(-np.inf))
+                at = np.flatnonzero(~(s < bar[:, None]))
+                if len(at):
+                    r, j = np.divmod(at, s.shape[1])
+                    self.wait.append((r, ids[i + j], exact_scores(self.q[r], v[i + j], self.metric)))
+                    self.waiting += len(r)
+                    if self.waiting >= len(self.q) * (self.k if len(self.row) else 1):
+                        self.settle()
+
+    def settle(self) -> None:
+        """Brings those that wait among the k best; of equal ones those with smaller ids come first."""
+        if not self.wait:
+            return
+        row, idx, score = (np.concatenate(x) for x in zip((self.row, self.idx, self.score), *self.wait))
+        self.wait, self.waiting = [], 0
+        order = np.lexsort((idx, -score, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        kept = place < self.k
+        self.row, self.idx, self.score = row[kept], idx[order][kept], score[order][kept]
+        full = place[kept] == self.k - 1
+        self.least[self.row[full]] = self.score[full]
+
+    def batch(self) -> pa.RecordBatch:
+        self.settle()
+        return _found(self.qids[self.row], self.idx, self.score)
+
+
+def _found(qid: np.ndarray, idx: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(idx), pa.array(score)], names=["qid", "idx", "score"])
+
+
 def exact_search(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str = "inner_product") -> DataFrame:
-    """The best of all pairs: blocks of queries meet blocks of the corpus, each pair keeps k of each query.
+    """The best of all pairs: blocks of queries meet blocks of the corpus; a task keeps k for each query that it meets.
 
-    Which side is sent to all is Spark's choice by its size; large ones meet in a Cartesian product of blocks.
+    Which side is sent to all is Spark's choice by its size; large ones meet in a Cartesian product of blocks. The work
+    grows with the pairs; a task's memory doesn't, and rows that move are k for each query and partition of the corpus.
     """
     q, v = blocks(queries).toDF("qids", "qflat", "qn"), blocks(corpus).toDF("vids", "vflat", "vn")
 
     def run(batches):
+        held: dict[bytes, Best] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 qi, qf, qn, vi, vf, vn = (batch.column(j)[row] for j in range(6))
-                qi, vi = qi.values.to_numpy(), vi.values.to_numpy()
-                a, b = (x.values.to_numpy().reshape(n.as_py(), -1) for x, n in ((qf, qn), (vf, vn)))
+                name = qi.as_py()
+                vids, b = np.frombuffer(vi.as_buffer(), np.int64), np.frombuffer(vf.as_buffer()).reshape(vn.as_py(), -1)
+                qids, a = np.frombuffer(name, np.int64), np.frombuffer(qf.as_buffer()).reshape(qn.as_py(), -1)
                 if a.shape[1] != b.shape[1]:
                     raise ValueError(f"queries have {a.shape[1]} entries, vectors {b.shape[1]}")
-                scores = products(a, b, metric)
-                r, at = best_of(scores, vi, k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[r]), pa.array(vi[at]), pa.array(scores[r, at])], names=["qid", "idx", "score"])
+                if k is None:
+                    for i in range(0, len(b), TILE):
+                        r, j = np.divmod(np.arange(len(a) * len(b[i : i + TILE])), len(b[i : i + TILE]))
+                        yield _found(qids[r], vids[i + j], exact_scores(a[r], b[i + j], metric))
+                    continue
+                if name not in held:
+                    if sum(map(len, held.values())) + len(a) * k > HELD:
+                        yield from (x.batch() for x in held.values())
+                        held = {}
+                    held[name] = Best(qids, a.copy(), k, metric)
+                held[name].add(vids, b)
+        yield from (x.batch() for x in held.values())
 
     return top_k(q.crossJoin(v).mapInArrow(run, _FOUND), k).drop("rank")
 
@@ -194,7 +292,8 @@ class DenseSearch(Search):
     """``query.vector`` against ``index.vector``. Vectors have one length; nulls are left out, NaN counts as 0.
 
     factory "flat": exact. IVF: vectors lie in the list of their nearest centroid, a query looks into its nprobe
-    nearest ones, an equi-join on the list; scores there are exact, or with product codes those of the decoded vectors.
+    nearest ones, an equi-join on the list; scores there are exact, or with product codes those of the decoded vectors. A
+    query that looks into all lists meets every vector once: that is an exact search over what the lists hold.
     """
 
     name = "dense"
@@ -224,7 +323,7 @@ class DenseSearch(Search):
                     y = t.rotate(as_matrix(batch.column(1)))
                     near = (-products(y, t.centroids, "l2")).argmin(axis=1)
                     kept = t.decode(t.encode(y)) if t.books is not None else y
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(kept), pa.list_(pa.float64())), pa.array(near, pa.int32())], names=["idx", "vector", "list"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(kept), pa.array(near, pa.int32())], names=["idx", "vector", "list"])
 
         return {"vectors": vectors.mapInArrow(place, "idx bigint, vector array<double>, list int")}, {"rows": rows, "trained": t.dump()}
 
@@ -233,8 +332,18 @@ class DenseSearch(Search):
         asked = self._vectors(queries, g.query_field, "qid")
         if g.factory == "flat" or not self.state.get("trained"):
             return exact_search(asked, self.tables["vectors"].select("idx", "vector"), k, g.metric)
-        shared = queries.sparkSession.sparkContext.broadcast(Trained.load(self.state["trained"]))
+        t = Trained.load(self.state["trained"])
+        shared = queries.sparkSession.sparkContext.broadcast(t)
         metric, probes = g.metric, g.nprobe
+        if probes >= len(t.centroids):
+
+            def turn(batches):
+                for batch in batches:
+                    if batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(shared.value.rotate(as_matrix(batch.column(1))))], names=["qid", "vector"])
+
+            turned = asked if t.rotation is None else asked.mapInArrow(turn, "qid bigint, vector array<double>")
+            return exact_search(turned, self.tables["vectors"].select("idx", "vector"), k, metric)
 
         def probe(batches):
             for batch in batches:
@@ -244,7 +353,7 @@ class DenseSearch(Search):
                     n = min(probes, len(t.centroids))
                     lists = np.argsort(-products(y, t.centroids, metric), axis=1, kind="stable")[:, :n]
                     r = np.repeat(np.arange(len(y)), n)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), pa.array(list(y[r]), pa.list_(pa.float64())), pa.array(lists.ravel().astype(np.int32))], names=["qid", "vector", "list"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), as_lists(y[r]), pa.array(lists.ravel().astype(np.int32))], names=["qid", "vector", "list"])
 
         def meet(q: pa.Table, v: pa.Table) -> pa.Table:
             if not len(q) or not len(v):
