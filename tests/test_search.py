@@ -147,7 +147,7 @@ def test_screening_loses_nothing(metric, scale):
     q = x[rng.permutation(len(x))[:50]]
     found = Best(np.arange(50), q, 7, metric)
     for i in range(0, len(x), 500):
-        found.add(ids[i : i + 500], x[i : i + 500])
+        found.meet(ids[i : i + 500], x[i : i + 500])
     found.settle()
     for i in range(50):
         s = exact_scores(q[i : i + 1], x, metric)
@@ -162,3 +162,63 @@ def test_all_lists_are_an_exact_search(spark):
     assert "CoGroup" not in found._jdf.queryExecution().toString()
     got = {i: [r.idx for r in sorted(found.collect(), key=lambda r: -r.score) if r.qid == i] for i in range(16)}
     assert [got[i] for i in range(16)] == best(q, v, 10).tolist()
+
+
+def bm25_case(spark):
+    rng = np.random.default_rng(5)
+    text = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) if x < 40) for _ in range(120)]
+    corpus = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate([*text, *text[:20], None])], "`__idx__` bigint, `index.text` string, `index.kind` string")
+    asked = [(i, f"w{i} w1 w{i + 1} w1 none", "abc"[i % 3] if i else None) for i in range(12)]
+    return text, corpus, spark.createDataFrame(asked, "`__idx__` bigint, `query.text` string, `query.kind` string")
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_bm25_in_parts_and_chunks(spark, monkeypatch, filtered, tmp_path):
+    from collections import Counter
+    from math import log
+
+    from textweir.search import bm25
+
+    for name in ("ASKED", "CHUNK"):
+        monkeypatch.setattr(bm25, name, 13)
+    text, corpus, queries = bm25_case(spark)
+    docs = [Counter(t.split()) for t in [*text, *text[:20], ""]]
+    mean = sum(d.total() for d in docs) / len(docs)
+    want = {}
+    for q in queries.collect():
+        scores = {}
+        for i, d in enumerate(docs):
+            if filtered and q["query.kind"] != "ab"[i % 2] and i < 140 or filtered and i == 140:
+                continue
+            own = [(w, d[w]) for w in q["query.text"].split() if d[w]]
+            df = {w: sum(w in x for x in docs) for w, _ in own}
+            s = sum(log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d.total() / mean)) for w, tf in own)
+            if own:
+                scores[i] = round(s, 9)
+        want |= {(q["__idx__"], i): scores[i] for i in sorted(scores, key=lambda i: (-scores[i], i))[:5]}
+    engine = auto_engine("bm25", {"k": 5, "filter_key": "kind" if filtered else None}, path=str(tmp_path)).build(corpus)
+    assert as_dict(engine.search(queries)) == pytest.approx(want, abs=2e-9)
+
+
+def test_bm25_hands_on_k_for_a_partition(spark, monkeypatch):
+    """Before, each pair of a query and a row that share a term was shuffled."""
+    from textweir.search import bm25
+
+    monkeypatch.setattr(bm25, "top_k", lambda found, k: found.withColumn("rank", bm25.F.lit(1)))
+    _, corpus, queries = bm25_case(spark)
+    assert auto_engine("bm25", {"k": 3}).build(corpus.coalesce(1)).search(queries).count() == 12 * 3
+
+
+@pytest.mark.parametrize("chunk", [1, 7])
+def test_bm25_chunks_change_nothing(monkeypatch, chunk):
+    import pyarrow as pa
+
+    from textweir.search import bm25
+
+    asked = bm25.Asked(pa.table({"qid": [5, 5, 9, 9, 9], "term": ["a", "b", "a", "c", "d"], "w": [1.0, 2.0, 3.0, 4.0, 5.0]}))
+    tokens = pa.array([["a", "x", "a"], [], ["c", "b", "a"], ["x"], ["d", "d"]]).slice(0)
+    monkeypatch.setattr(bm25, "CHUNK", chunk)
+    out = np.zeros((5, 2))
+    for begin, n, row, term, tf in asked.postings(tokens):
+        out[begin : begin + n] = asked.scores(n, row, term, tf * 1.0, None)
+    assert out.tolist() == [[2, 6], [0, 0], [3, 7], [0, 0], [0, 10]]

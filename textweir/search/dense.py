@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from ..core.columns import c, full_key
 from .base import Search, SearchConfig
+from .kept import HELD, Kept, found_batch
 from .result import top_k
 
 #: Vectors in a block; a task holds two blocks and the products of one with a tile of the other.
 BLOCK = 2048
 #: Vectors that a block of queries meets at once: their products stay in a core's cache.
 TILE = 512
-#: Results that a task holds at most before it hands them on.
-HELD = 1 << 21
 _BLOCKS = "ids binary, flat binary, n int"
 _FOUND = "qid bigint, idx bigint, score double"
 
@@ -106,7 +105,7 @@ def exact_scores(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     return (q * v).sum(axis=1) if metric == "inner_product" else -((q - v) ** 2).sum(axis=1)
 
 
-class Best:
+class Best(Kept):
     """The k best so far of each query of a block.
 
     Products in single precision only rule pairs out: those that, with the most that rounding can take off, are worse than
@@ -114,15 +113,9 @@ class Best:
     """
 
     def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, metric: str):
-        self.qids, self.q, self.k, self.metric = qids, q, k, metric
+        super().__init__(len(q), k)
+        self.qids, self.q, self.metric = qids, q, metric
         self.norms = (q * q).sum(axis=1)
-        self.row, self.idx, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.least = np.full(len(q), -np.inf)
-        self.wait: list[tuple] = []
-        self.waiting = 0
-
-    def __len__(self) -> int:
-        return len(self.row) + self.waiting
 
     def _screen(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Two matrices whose products rank a query's vectors, and the most by which a product is off, for each query."""
@@ -134,7 +127,7 @@ class Best:
         size = np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1).max(initial=0))
         return q.astype(kind), v.astype(kind), 2 * (q.shape[1] + 8) * unit * size + q.shape[1] * 1e-25
 
-    def add(self, ids: np.ndarray, v: np.ndarray) -> None:
+    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
         with np.errstate(invalid="ignore", over="ignore"):
             a, b, off = self._screen(v)
             for i in range(0, len(v), TILE):
@@ -149,32 +142,11 @@ class Best:
                 at = np.flatnonzero(~(s < bar[:, None]))
                 if len(at):
                     r, j = np.divmod(at, s.shape[1])
-                    self.wait.append((r, ids[i + j], exact_scores(self.q[r], v[i + j], self.metric)))
-                    self.waiting += len(r)
-                    if self.waiting >= len(self.q) * (self.k if len(self.row) else 1):
-                        self.settle()
-
-    def settle(self) -> None:
-        """Brings those that wait among the k best; of equal ones those with smaller ids come first."""
-        if not self.wait:
-            return
-        row, idx, score = (np.concatenate(x) for x in zip((self.row, self.idx, self.score), *self.wait))
-        self.wait, self.waiting = [], 0
-        order = np.lexsort((idx, -score, row))
-        row = row[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        kept = place < self.k
-        self.row, self.idx, self.score = row[kept], idx[order][kept], score[order][kept]
-        full = place[kept] == self.k - 1
-        self.least[self.row[full]] = self.score[full]
+                    self.put(r, ids[i + j], exact_scores(self.q[r], v[i + j], self.metric))
 
     def batch(self) -> pa.RecordBatch:
         self.settle()
-        return _found(self.qids[self.row], self.idx, self.score)
-
-
-def _found(qid: np.ndarray, idx: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(idx), pa.array(score)], names=["qid", "idx", "score"])
+        return found_batch(pa.array(self.qids[self.row]), self.idx, self.score)
 
 
 def exact_search(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str = "inner_product") -> DataFrame:
@@ -198,14 +170,14 @@ def exact_search(queries: DataFrame, corpus: DataFrame, k: int | None, metric: s
                 if k is None:
                     for i in range(0, len(b), TILE):
                         r, j = np.divmod(np.arange(len(a) * len(b[i : i + TILE])), len(b[i : i + TILE]))
-                        yield _found(qids[r], vids[i + j], exact_scores(a[r], b[i + j], metric))
+                        yield found_batch(pa.array(qids[r]), vids[i + j], exact_scores(a[r], b[i + j], metric))
                     continue
                 if name not in held:
                     if sum(map(len, held.values())) + len(a) * k > HELD:
                         yield from (x.batch() for x in held.values())
                         held = {}
                     held[name] = Best(qids, a.copy(), k, metric)
-                held[name].add(vids, b)
+                held[name].meet(vids, b)
         yield from (x.batch() for x in held.values())
 
     return top_k(q.crossJoin(v).mapInArrow(run, _FOUND), k).drop("rank")
