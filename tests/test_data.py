@@ -126,3 +126,19 @@ def test_sources(spark, tmp_path, capsys):
     assert describe(one, nulls=True)[1] == {"key": "b", "depth": 0, "leaf": "string", "rows": 1, "nulls": 1}
     assert PrintContent(["a"], n=2)(one).columns == ["a", "b"] and "1: 2" in capsys.readouterr().out
     assert Identity.get_eg({"a": [1, 2]}, 1) == {"a": 2}
+
+
+def test_texts_are_tokenized_some_at_a_time(spark):
+    """A worker's memory is that of a slice, not of a batch of 10,000 rows."""
+
+    def count(texts, **_):
+        bytes_ = sum(len(x.encode()) for x in texts)
+        return {"input_ids": [[len(texts), bytes_] for _ in texts], "attention_mask": [[1, 1] for _ in texts]}
+
+    rows = [(i, None if i % 7 == 0 else "é" * (i % 500) if i != 5 else "x" * 300_000) for i in range(2500)]
+    got = TokenizerPipe(count)(spark.createDataFrame(rows, "i int, text string").coalesce(1)).collect()
+    assert [r.text for r in got] == [t for _, t in rows]
+    assert all((r.input_ids is None) == (r.text is None) for r in got)
+    seen = [r.input_ids for r in got if r.text is not None]
+    assert max(n for n, _ in seen) <= 1000
+    assert max(b for n, b in seen if n > 1) <= 1 << 18 and got[5].input_ids == [1, 300_000]

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..core.columns import c, full_key
 from ..core.condition import In
 from ..core.pipe import Pipe
 
+#: Bytes of text, and rows, that are tokenized at once.
+CHUNK, ROWS = 1 << 18, 1000
+
 
 class RegexTokenizer:
     """Words as a pattern finds them, with ids from a vocabulary or, without one, from a hash of the word."""
@@ -52,11 +57,22 @@ def from_file(path: str) -> Callable:
     return run
 
 
+def slices(text: pa.Array, size: int = CHUNK) -> Iterator[pa.Array]:
+    """Consecutive rows with so many bytes of text at most, or one row."""
+    n = pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i = np.cumsum(n), 0
+    while i < len(text):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + size, "right")))
+        j = min(j, i + ROWS)
+        yield text.slice(i, j - i)
+        i = j
+
+
 class TokenizerPipe(Pipe):
     """``field.key`` into ``field.input_ids``, attention_mask and, if asked for, token_type_ids and offset_mapping.
 
     The tokenizer is a function of texts, add_special_tokens and max_length that gives lists by these names; it runs on
-    Arrow batches. Texts are cut at max_length where it is given. A null text gives nulls, an empty one what the tokenizer gives.
+    Arrow batches, some rows at a time: tokens are many times larger than their text. Texts are cut at max_length where it is given. A null text gives nulls, an empty one what the tokenizer gives.
     """
 
     _allows_input_filter = False
@@ -73,10 +89,12 @@ class TokenizerPipe(Pipe):
         arrow = {k: pa.list_(pa.list_(pa.int64())) if k == "offset_mapping" else pa.list_(pa.int64()) for k in outputs}
 
         @F.arrow_udf(f"struct<{', '.join(f'{k}: {v}' for k, v in kinds.items())}>")
-        def run(text: pa.Array) -> pa.Array:
-            got = tokenizer(text.fill_null("").to_pylist(), add_special_tokens=special, max_length=most)
-            empty = text.is_null().to_pylist()
-            return pa.StructArray.from_arrays([pa.array([None if e else [list(v) if isinstance(v, tuple) else v for v in x] for x, e in zip(got[k], empty)], arrow[k]) for k in outputs], outputs)
+        def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for text in parts:
+                for part in slices(text):
+                    got = tokenizer(part.fill_null("").to_pylist(), add_special_tokens=special, max_length=most)
+                    empty = part.is_null().to_pylist()
+                    yield pa.StructArray.from_arrays([pa.array([None if e else [list(v) if isinstance(v, tuple) else v for v in x] for x, e in zip(got[k], empty)], arrow[k]) for k in outputs], outputs)
 
         item = "__tokens__"
         made = df.select(*map(c, carry), run(c(full_key(self.field, self.key))).alias(item))
