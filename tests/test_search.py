@@ -222,3 +222,16 @@ def test_bm25_chunks_change_nothing(monkeypatch, chunk):
     for begin, n, row, term, tf in asked.postings(tokens):
         out[begin : begin + n] = asked.scores(n, row, term, tf * 1.0, None)
     assert out.tolist() == [[2, 6], [0, 0], [3, 7], [0, 0], [0, 10]]
+
+
+def test_partitions_of_results_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Before, they were as many for any input, and a task's memory grew with it."""
+    rows = [(q, i, float(q * i % 7)) for q in range(200) for i in range(5)]
+    long(spark, rows).write.parquet(str(tmp_path / "r"))
+    found = spark.read.parquet(str(tmp_path / "r"))
+    want = {f: as_dict(getattr(R, f)(found, found.filter("idx > 2"))) for f in ("merge_results", "sum_scores")}
+    monkeypatch.setattr(R, "SHARE", 100, raising=False)
+    for f, result in want.items():
+        got = getattr(R, f)(found, found.filter("idx > 2"))
+        assert got.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert as_dict(got) == result

@@ -16,7 +16,7 @@ from ..operators.tokenizer import RegexTokenizer, TokenizerPipe
 from ..search.bm25 import Bm25Config, Bm25Search, auxiliary_weight
 from ..search.dense import DenseConfig, DenseSearch
 from ..search.lookup import GroupLookupConfig, GroupLookupSearch, TopkConfig, TopkSearch
-from ..search.result import merge_results, sum_scores, to_wide, top_k
+from ..search.result import by_query, merge_results, sum_scores, to_wide, top_k
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -169,7 +169,7 @@ b AS (SELECT l_orderkey AS qid, l_suppkey AS idx, sum(l_tax * 100) AS s FROM lin
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("qid"), c("l_suppkey").alias("idx"), "l_quantity", "l_tax", "l_returnflag")
-    side = lambda df, v: df.groupBy("qid", "idx").agg(F.sum(v).alias("score"))
+    side = lambda df, v: by_query(df).groupBy("qid", "idx").agg(F.sum(v).alias("score"))
     return side(lines, F.col("l_quantity")), side(lines.filter("l_returnflag = 'R'"), F.col("l_tax") * 100)
 
 

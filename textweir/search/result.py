@@ -13,6 +13,20 @@ from ..functions.arrays import masked_fill, pad_to_length
 
 LONG = ("qid", "idx", "score")
 NEG_INF = float("-inf")
+#: Bytes of stored tables for each partition of results.
+SHARE = 8 << 20
+
+
+def by_query(df: DataFrame) -> DataFrame:
+    """Rows with a query's results together.
+
+    The number of partitions grows with the stored tables that they come from: with a fixed one, what a task sorts and sums
+    up would grow with them. Small tables, and those whose size isn't known, have the session's number.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    n = sum(x for x in sizes if x < 1 << 62) // SHARE
+    return df.repartition(n, "qid") if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition("qid")
 
 
 def top_k(found: DataFrame, k: int | None) -> DataFrame:
@@ -25,7 +39,7 @@ def top_k(found: DataFrame, k: int | None) -> DataFrame:
 def sum_scores(a: DataFrame, b: DataFrame) -> DataFrame:
     """The ids of both, the scores of each added up, also those of an id that one side has twice; -inf counts like any score."""
     both = a.select(*LONG).unionByName(b.select(*LONG)).filter("idx >= 0")
-    return both.groupBy("qid", "idx").agg(F.sum("score").alias("score"))
+    return by_query(both).groupBy("qid", "idx").agg(F.sum("score").alias("score"))
 
 
 def real_min(score: Column) -> Column:
@@ -39,7 +53,7 @@ def merge_results(a: DataFrame, b: DataFrame) -> DataFrame:
     Union and one aggregation by id, then one by query: both shuffle on the query alone, so rows move once.
     """
     sides = a.select(*LONG, F.lit(0).alias("side")).unionByName(b.select(*LONG, F.lit(1).alias("side"))).filter("idx >= 0")
-    sides = sides.repartition("qid")
+    sides = by_query(sides)
     part = lambda s: F.when(F.col("side") == s, F.col("score"))
     per_id = sides.groupBy("qid", "idx").agg(F.sum(part(0)).alias("a"), F.sum(part(1)).alias("b"), F.min(F.when(part(0) > NEG_INF, part(0))).alias("la"), F.min(F.when(part(1) > NEG_INF, part(1))).alias("lb"))
     by = Window.partitionBy("qid")
